@@ -1,0 +1,89 @@
+"""Compare registered queries with their oracle SQL, as order-free multisets."""
+
+from __future__ import annotations
+
+import collections
+import glob
+import os
+import sys
+import time
+
+import duckdb
+import pandas as pd
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def session(cores: int = 8) -> SparkSession:
+    spark = (SparkSession.builder.master(f"local[{cores}]").appName("fleetpulse")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+             .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def _cell(v):
+    if v is None or v is pd.NaT:
+        return None
+    if isinstance(v, float):
+        return "nan" if v != v else repr(v)
+    if hasattr(v, "item"):
+        return _cell(v.item())
+    return repr(v)
+
+
+def multiset(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(columns), collections.Counter(tuple(_cell(r[i]) for i in order) for r in rows)
+
+
+def run_oracle(sql: str, sf_dir: str):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path).split(".")[0]
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    rel = con.execute(sql)
+    return [c[0] for c in rel.description], rel.fetchall()
+
+
+def check(spark, name, fn, sql, sf_dir) -> str:
+    t0 = time.time()
+    df = fn(spark, sf_dir)
+    rows = [tuple(r) for r in df.collect()]
+    t1 = time.time()
+    if sql is None:
+        return f"rows-only {len(rows)} spark={t1 - t0:.1f}s"
+    got = multiset(df.columns, rows)
+    want = multiset(*run_oracle(sql, sf_dir))
+    t2 = time.time()
+    if got[0] != want[0]:
+        return f"FAIL columns {got[0]} vs {want[0]}"
+    if got[1] != want[1]:
+        extra = list((got[1] - want[1]).items())[:2]
+        miss = list((want[1] - got[1]).items())[:2]
+        return (f"FAIL {sum(got[1].values())} vs {sum(want[1].values())} rows, "
+                f"{sum((got[1] - want[1]).values())} differ\n  cols {got[0]}\n  spark {extra}\n  oracle {miss}")
+    return f"ok {len(rows)} rows spark={t1 - t0:.1f}s duckdb={t2 - t1:.1f}s"
+
+
+if __name__ == "__main__":
+    import __spark_entry__ as e
+
+    sf = os.environ.get("SF", "0.01")
+    wanted = sys.argv[1:]
+    spark = session()
+    failed = 0
+    for name, fn in e.queries().items():
+        if wanted and not any(w in name for w in wanted):
+            continue
+        try:
+            line = check(spark, name, fn, e.oracle_sql().get(name), f"/root/testdata/sf{sf}")
+        except Exception as exc:  # noqa: BLE001
+            line = f"FAIL {type(exc).__name__}: {str(exc)[:1500]}"
+        failed += line.startswith("FAIL")
+        print(name, line, flush=True)
+    print("failed:", failed)
