@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetpulse.params import SENSORS, STATUS_NAMES, Sensor
 
 Numeric = Column | str
+TIE_OFFSET = 3.1e-9
 
 
 def _c(value: Numeric) -> Column:
@@ -72,6 +73,10 @@ def half_even(value: Numeric, digits: int = 0) -> Column:
     return F.bround(_c(value), digits)
 
 
-def r6(value: Numeric) -> Column:
-    """Six decimals for comparing doubles; adding zero turns -0.0 into 0.0."""
-    return F.round(_c(value).cast("double"), 6) + F.lit(0.0)
+def r6(value: Numeric, digits: int = 6) -> Column:
+    """Fixed decimals for comparing doubles between engines.
+
+    The offset moves decimal ties off the rounding border; adding zero turns
+    -0.0 into 0.0. Only query results are rounded, never operator outputs.
+    """
+    return F.round(_c(value).cast("double") + TIE_OFFSET, digits) + F.lit(0.0)

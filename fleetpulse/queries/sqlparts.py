@@ -44,8 +44,8 @@ def name(code: str) -> str:
     return f"CASE {code} WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'CRITICAL' END"
 
 
-def r6(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0::DOUBLE"
+def r6(expr: str, digits: int = 6) -> str:
+    return f"round(({expr}) + 3.1e-9::DOUBLE, {digits}) + 0.0::DOUBLE"
 
 
 def each(template, sep: str = ",\n  ") -> str:

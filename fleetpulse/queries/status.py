@@ -104,17 +104,18 @@ def machine_status_and_worst_sensor(spark, sf):
 
 @query("severity_summary", "P12", q.with_readings(
     f"SELECT {KEY}, {q.r6('greatest(' + q.each(lambda s: q.severity(s.key, s)) + ')')} AS maximum_severity, "
-    + q.r6("(" + q.each(lambda s: f"({q.severity(s.key, s)}) * {q.d(s.weight)}", " + ") + ") / 1.0::DOUBLE")
+    + q.r6("(" + q.each(lambda s: f"({q.severity(s.key, s)}) * {q.d(s.weight)}", " + ") + ") / 1.0::DOUBLE", 8)
     + " AS weighted_severity FROM readings"))
 def severity_summary(spark, sf):
     df = ops.severity_summary(readings(spark, sf))
     return df.select(*ID, r6("maximum_severity").alias("maximum_severity"),
-                     r6("weighted_severity").alias("weighted_severity"))
+                     r6("weighted_severity", 8).alias("weighted_severity"))
 
 
+# The JVM formatter rounds decimal ties up; printf looks at the binary value, hence + 1e-9.
 _REASON_SQL = "list_filter([" + q.each(lambda s: (
     f"CASE WHEN {q.status(s.key, s)} > 0 THEN printf('{s.label} is %s: %.3f {s.unit} exceeds %.3f {s.unit}.', "
-    f"{q.name(q.status(s.key, s))}, {s.key}, CASE WHEN {q.status(s.key, s)} = 2 THEN {q.d(s.critical)} "
+    f"{q.name(q.status(s.key, s))}, {s.key} + 1e-9::DOUBLE, CASE WHEN {q.status(s.key, s)} = 2 THEN {q.d(s.critical)} "
     f"ELSE {q.d(s.warning)} END) END")) + "], lambda x: x IS NOT NULL)"
 
 
