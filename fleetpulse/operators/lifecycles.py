@@ -99,15 +99,17 @@ def lifecycle_rows(closed: DataFrame) -> DataFrame:
         *[F.col("post")[k].alias(f"post_reset__{k}") for k in SENSOR_KEYS])
 
 
-def duration_bucket(hours, bounds: Sequence[float] = DURATION_BOUNDS_H, named: bool = True):
-    """Bucket of a lifecycle length, as a readable name or as ``[a,b)h``."""
+def bucket_names(bounds: Sequence[float]) -> list[str]:
+    if len(bounds) == 3:
+        return ["short", "medium", "long", "very_long"]
+    edges = [0, *bounds]
+    return [f"[{a:g},{b:g})h" for a, b in zip(edges, bounds)] + [f"[{edges[-1]:g},inf)h"]
+
+
+def duration_bucket(hours, bounds: Sequence[float] = DURATION_BOUNDS_H):
+    """Bucket of a lifecycle length: named for three borders, else ``[a,b)h``."""
     c = F.col(hours) if isinstance(hours, str) else hours
-    edges = [0, *bounds, None]
-    if named and len(bounds) == 4:
-        # Names of the four-border buckets.
-        names = ["short", "medium", "long", "very_long", "extra_long"]
-    else:
-        names = [f"[{a:g},{b:g})h" if b is not None else f">={a:g}h" for a, b in zip(edges, edges[1:])]
+    names = bucket_names(bounds)
     out = F.lit(names[-1])
     for b, n in reversed(list(zip(bounds, names))):
         out = F.when(c < b, n).otherwise(out)

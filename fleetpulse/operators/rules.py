@@ -24,7 +24,8 @@ def range_check(df: DataFrame) -> DataFrame:
 def range_reason() -> Column:
     tests = [F.when(~rules.finite(s.key), F.lit(f"{s.key} is not finite")).when(
         ~F.col(s.key).between(s.low, s.high),
-        F.lit(f"{s.label} is outside the configured valid range [{s.low}, {s.high}]"))
+        F.concat(F.lit(f"{s.label} "), F.col(s.key).cast("string"), F.lit(
+            f" {s.unit} is outside the configured valid range [{s.low}, {s.high}]")))
         for s in SENSORS]
     return F.coalesce(*tests)
 

@@ -220,22 +220,26 @@ def validate(df: DataFrame, params: Params = DEFAULT, keys: Sequence[str] = MACH
                          order=("ingest_seq",))
     accepted = judged.filter("verdict = ''").select(
         *keys, F.col("us"), F.col("ingest_seq").alias("_first_seq"))
-    judged = judged.join(accepted, [*keys, "us"], "left")
+    judged = judged.join(accepted, [*keys, "us"], "left").drop("slice").join(
+        df.select(*keys, "ingest_seq", "label", *SENSOR_KEYS), [*keys, "ingest_seq"])
     part = F.split("verdict", ":")
     which = F.get(part, F.lit(1)).cast("int")
     key = F.element_at(F.array(*[F.lit(k) for k in SENSOR_KEYS]), which + 1)
-    bounds = F.element_at(F.array(*[F.lit(f"{s.label}|[{s.low}, {s.high}]") for s in SENSORS]), which + 1)
+    value = F.element_at(F.array(*[F.col(k) for k in SENSOR_KEYS]), which + 1)
+    out_of_range = F.element_at(F.array(*[F.concat(
+        F.lit(f"{s.label} "), value.cast("string"), F.lit(
+            f" {s.unit} is outside the configured valid range [{s.low}, {s.high}]"))
+        for s in SENSORS]), which + 1)
     limit = F.element_at(F.array(*[F.lit(f"{j:.3f}") for j in jumps]), which + 1)
     kind = F.get(part, F.lit(0))
     reason = (F.when(kind == "", "")
-              .when(kind == "label", "unknown health_status value")
+              .when(kind == "label", F.concat(
+                  F.lit("unknown health_status value: '"), F.col("label"), F.lit("'")))
               .when((kind == "time") & (F.col("_first_seq") < F.col("ingest_seq")),
                     "duplicate timestamp")
               .when(kind == "time", "timestamp is earlier than the last accepted timestamp")
               .when(kind == "finite", F.concat(key, F.lit(" is not finite")))
-              .when(kind == "range", F.concat(
-                  F.split(bounds, r"\|")[0], F.lit(" is outside the configured valid range "),
-                  F.split(bounds, r"\|")[1]))
+              .when(kind == "range", out_of_range)
               .otherwise(F.concat(
                   F.lit("possible sensor fault: "), key, F.lit(" changed by "), F.get(part, F.lit(2)),
                   F.lit(", above the configured jump limit "), limit)))

@@ -9,7 +9,7 @@ from fleetpulse.sources.binding import READINGS_SQL
 def with_readings(body: str, *ctes: str) -> str:
     parts = ",\n".join([READINGS_SQL.strip(), *[c.strip() for c in ctes]])
     recursive = "RECURSIVE " if any("UNION ALL" in c for c in ctes) else ""
-    return f"WITH {recursive}{parts}\n{body}"
+    return f"WITH {recursive}{parts}\n{body.strip()}"
 
 
 def d(x: float) -> str:

@@ -51,7 +51,7 @@ def edited(spark, sf):
     f"SELECT {KEY}, coalesce(" + q.each(lambda s: (
         f"CASE WHEN {s.key} IS NULL OR isnan({s.key}) OR isinf({s.key}) THEN '{s.key} is not finite' "
         f"WHEN {s.key} NOT BETWEEN {s.low} AND {s.high} THEN "
-        f"'{s.label} is outside the configured valid range [{s.low}, {s.high}]' END")) +
+        f"'{s.label} ' || {s.key} || ' {s.unit} is outside the configured valid range [{s.low}, {s.high}]' END")) +
     ") AS range_reason FROM ed", _EDITED_SQL))
 def range_check(spark, sf):
     return ops.range_check(edited(spark, sf)).select(*ID, "range_reason")
