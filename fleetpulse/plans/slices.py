@@ -127,10 +127,18 @@ def with_history(df: DataFrame, keys: Sequence[str], rows: int,
              .agg(F.array_sort(F.collect_list(F.struct(
                  *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                  F.struct(*cols).alias("_row")))).alias("_rows")))
-    across = Window.partitionBy(*keys).orderBy("slice").rowsBetween(-rows, -1)
-    seen = tails.withColumn("_seen", F.flatten(F.collect_list("_rows").over(across)))
+    # Rows are counted up to each slice, so only the few slices before a border
+    # that hold its last rows are gathered.
+    counts = df.groupBy(*keys, "slice").agg(F.count("*").alias("_n"))
+    across = Window.partitionBy(*keys).orderBy("slice")
+    ends = counts.withColumns({"_end": F.sum("_n").over(across), "_next": F.lead("slice").over(across)})
+    near = Window.partitionBy(*keys).orderBy("_end").rangeBetween(-(rows - 1), 0)
+    seen = (tails.join(ends, [*keys, "slice"])
+            .withColumn("_seen", F.flatten(F.collect_list("_rows").over(near)))
+            .filter(F.col("_next").isNotNull()))
     start = F.greatest(F.size("_seen") - F.lit(rows), F.lit(0)) + 1
-    halo = (seen.select(*keys, "slice", F.explode(F.slice("_seen", start, F.lit(rows))).alias("_h"))
+    halo = (seen.select(*keys, F.col("_next").alias("slice"),
+                        F.explode(F.slice("_seen", start, F.lit(rows))).alias("_h"))
             .select(*keys, "slice", "_h._row.*").withColumn("is_halo", F.lit(True)))
     return df.withColumn("is_halo", F.lit(False)).unionByName(halo)
 

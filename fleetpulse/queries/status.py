@@ -132,14 +132,15 @@ def status_reasons(spark, sf):
 
 
 @query("domain_stage", "P14", """
-SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'candidate_mock' WHEN 'F' THEN 'candidate_realistic_synthetic'
-  END AS stage, o_orderstatus <> 'O' AND o_orderstatus <> 'F' AS refused FROM orders""")
+SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'mock_test' WHEN 'F' THEN 'realistic_candidate'
+  WHEN 'P' THEN 'plant_candidate' END AS stage, CASE o_orderstatus WHEN 'O' THEN 'Cannot promote accelerated_mock model to plant_production.'
+  WHEN 'F' THEN 'Cannot promote realistic_synthetic model to plant_production.' END AS refusal FROM orders""")
 def domain_stage(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus")
     domain = (F.when(F.col("o_orderstatus") == "O", "accelerated_mock")
-              .when(F.col("o_orderstatus") == "F", "realistic_synthetic").otherwise("unlisted"))
+              .when(F.col("o_orderstatus") == "F", "realistic_synthetic").otherwise("plant"))
     return orders.select("o_orderkey", ops.domain_stage(domain).alias("stage"),
-                         ops.domain_stage(domain).isNull().alias("refused"))
+                         ops.promotion_refusal(domain, F.lit("plant_production")).alias("refusal"))
 
 
 @query("strict_bool", "P15", """
