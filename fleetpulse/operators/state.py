@@ -6,12 +6,13 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import steps
 from fleetpulse.params import DEFAULT, MINUTE_US, SENSOR_KEYS, SENSORS, Params
 from fleetpulse.plans.fold import sliced_fold
+from fleetpulse.plans.shared import cut
 from fleetpulse.plans.slices import ORDER, scan
 
 MACHINE = ("machine_id",)
@@ -148,35 +149,52 @@ def healthy_baseline(df: DataFrame, params: Params = DEFAULT,
     return sliced_fold(df.select(*keys, "slice", *ORDER, "teach", *SENSOR_KEYS), keys, step, ddl)
 
 
-def alert_hysteresis(df: DataFrame, params: Params = DEFAULT,
-                     keys: Sequence[str] = (*LIFE, "target")) -> DataFrame:
-    """Operational alerts with slow release, as a latch over islands.
+def persistence_minutes(target: Column, params: Params = DEFAULT) -> Column:
+    p = params.prognostics
+    return F.when(target.startswith("probability_warning_"), p.warning_persist_min).when(
+        target.startswith("probability_critical_"), p.critical_persist_min).otherwise(30.0)
+
+
+def alert_latches(df: DataFrame, latches: dict[str, tuple[Column, Column, Column]],
+                  params: Params = DEFAULT, keys: Sequence[str] = LIFE) -> DataFrame:
+    """Operational alerts with slow release, as latches over islands.
 
-    ``df`` is long: one row per target with ``probability``, ``threshold`` and
-    ``withheld``. A target switches on when its probability has stayed at or above
-    the threshold long enough, and off when it has stayed below the release
-    border long enough, or at once when there is no probability.
+    ``latches`` maps an output column to (probability, threshold, minutes to
+    switch on). A latch goes on when the probability has stayed at or above the
+    threshold long enough, off when it has stayed below the release border long
+    enough, and off at once without a probability.
     """
     p = params.prognostics
-    v, t = F.col("probability"), F.col("threshold")
-    zone = (F.when(F.col("withheld") | v.isNull(), "none").when(v >= t, "above")
-            .when(v < t * p.release_fraction, "below").otherwise("between"))
-    rows = scan(df.withColumn("_zone", zone), keys, lag={"_prev": "_zone"})
-
-    def opens(name):
-        return F.when((F.col("_zone") == name) & ~F.col("_prev").eqNullSafe(F.lit(name)),
-                      F.col("us"))
-    rows = scan(rows, keys, last={"_above": opens("above"), "_below": opens("below")})
-    wait = F.when(F.col("target").startswith("probability_warning_"), p.warning_persist_min).when(
-        F.col("target").startswith("probability_critical_"), p.critical_persist_min).otherwise(30.0)
-    event = (F.when(F.col("_zone") == "none", 0)
-             .when((F.col("_zone") == "above")
-                   & (F.col("us") - F.col("_above") >= wait * MINUTE_US), 1)
-             .when((F.col("_zone") == "below")
-                   & (F.col("us") - F.col("_below") >= p.release_min * MINUTE_US), 0))
-    rows = scan(rows.withColumn("_set", event), keys, last={"_on": "_set"})
-    return (rows.withColumn("active", F.coalesce(F.col("_on"), F.lit(0)) == 1)
-            .drop("_zone", "_prev", "_above", "_below", "_set", "_on"))
+    zones = {f"_zone_{n}": F.when(v.isNull(), "none").when(v >= t, "above")
+             .when(v < t * p.release_fraction, "below").otherwise("between")
+             for n, (v, t, _) in latches.items()}
+    waits = {f"_wait_{n}": (w * MINUTE_US).cast("long") for n, (_, _, w) in latches.items()}
+    rows = scan(df.withColumns(zones | waits), keys, lag={f"_prev_{n}": f"_zone_{n}" for n in latches})
+    # Three dependent scans would read their input four times; one table between
+    # them keeps the work linear.
+    rows = cut(rows)
+
+    def opens(n, zone):
+        return F.when((F.col(f"_zone_{n}") == zone)
+                      & ~F.col(f"_prev_{n}").eqNullSafe(F.lit(zone)), F.col("us"))
+    rows = scan(rows, keys, last={f"_{z}_{n}": opens(n, z) for n in latches for z in ("above", "below")})
+    release = int(p.release_min * MINUTE_US)
+    events = {f"_set_{n}": F.when(F.col(f"_zone_{n}") == "none", 0)
+              .when((F.col(f"_zone_{n}") == "above")
+                    & (F.col("us") - F.col(f"_above_{n}") >= F.col(f"_wait_{n}")), 1)
+              .when((F.col(f"_zone_{n}") == "below")
+                    & (F.col("us") - F.col(f"_below_{n}") >= release), 0) for n in latches}
+    rows = scan(rows.withColumns(events), keys, last={f"_on_{n}": f"_set_{n}" for n in latches})
+    return rows.select(*df.columns, *[(F.coalesce(F.col(f"_on_{n}"), F.lit(0)) == 1).alias(n)
+                                      for n in latches])
+
+
+def alert_hysteresis(df: DataFrame, params: Params = DEFAULT,
+                     keys: Sequence[str] = (*LIFE, "target")) -> DataFrame:
+    """Long form: one row per target with ``probability``, ``threshold``, ``withheld``."""
+    value = F.when(~F.col("withheld"), F.col("probability"))
+    return alert_latches(df, {"active": (value, F.col("threshold"),
+                                         persistence_minutes(F.col("target"), params))}, params, keys)
 
 
 def validate(df: DataFrame, params: Params = DEFAULT, keys: Sequence[str] = MACHINE) -> DataFrame:
