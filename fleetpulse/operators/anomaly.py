@@ -1,7 +1,8 @@
 """Data-quality findings.
 
-Evidence that looks at a bounded neighbourhood (gaps, recent medians, noise,
-drift, context events) is native window work. Only what must remember earlier
+Gaps, context events and boundary runs are window work; recent medians, noise and
+drift look at a bounded number of earlier rows and run vectorised per slice (a
+sliding frame would recompute every window for every row). Only what must remember earlier
 decisions (frozen spike baselines, recovery countdown, clip counters that stop
 while a stronger rule fires, constancy runs) is folded, on a few narrow columns.
 A finding is a rule name; its quality status, action, confidence and training
@@ -13,15 +14,19 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetpulse.operators.cadence import missing_samples, with_gap
 from fleetpulse.params import (BY_KEY, DEFAULT, INTEGRITY, PENALTIES, SENSOR_KEYS,
                                Anomaly, Params)
 from fleetpulse.plans.fold import sliced_fold
-from fleetpulse.plans.slices import in_slice, scan, with_history
+from fleetpulse.plans.shared import cut
+from fleetpulse.plans.slices import ORDER, scan, with_history
 
 LIFE = ("machine_id", "lifecycle_id")
 ALL_SENSORS = "|".join(sorted(SENSOR_KEYS))
@@ -177,84 +182,73 @@ def abrupt_threshold(key: str, a: Anomaly = DEFAULT.anomaly) -> float:
     return max(INTEGRITY[key].resolution * 8.0, BY_KEY[key].span * a.abrupt_fraction)
 
 
-def _middle(values: Column, n: int) -> Column:
-    """Median of an array of known length ``n``."""
-    ordered = F.array_sort(values)
-    if n % 2:
-        return F.get(ordered, F.lit(n // 2))
-    return (F.get(ordered, F.lit(n // 2 - 1)) + F.get(ordered, F.lit(n // 2))) / 2.0
-
-
-def _detrended(values: Column, n: int) -> Column:
-    """Residuals from the line through the first and last value."""
-    first, last = F.get(values, F.lit(0)), F.get(values, F.lit(n - 1))
-    slope = (last - first) / float(max(1, n - 1))
-    return F.transform(values, lambda v, i: v - (first + slope * i))
+def _neighbourhood_block(v: np.ndarray, resolution: float, span: float, jump: float,
+                         a: Anomaly) -> dict[str, np.ndarray]:
+    """Evidence of one sensor for every row of a sorted block, from its earlier rows."""
+    rows = len(v)
+    count = np.minimum(np.arange(rows), 10)
+    middle = pd.Series(v).shift(1).rolling(10, min_periods=1).median().to_numpy()
+    out = {"recent_count": count, "recent_median": middle,
+           "abrupt": (count >= 5) & (np.abs(v - np.nan_to_num(middle)) >= jump)}
+
+    n = a.noise_rows
+    noisy = np.zeros(rows, dtype=bool)
+    if rows >= 2 * n:
+        windows = sliding_window_view(v, n)
+        line = np.arange(n) / max(1, n - 1)
+        rest = windows - (windows[:, :1] + (windows[:, -1:] - windows[:, :1]) * line)
+        scatter = np.median(np.abs(rest - np.median(rest, axis=1, keepdims=True)), axis=1)
+        step = np.diff(v)
+        turn = np.concatenate(([0], np.cumsum(step[1:] * step[:-1] < 0)))
+        turns = turn[n - 2:] - turn[:len(turn) - n + 2]
+        old, new = scatter[:-n], scatter[n:]
+        noisy[2 * n - 1:] = ((new > np.maximum(old, resolution) * a.noise_multiplier)
+                             & (turns[n:] >= n // 4))
+    d = a.drift_rows
+    move = np.full(rows, np.nan)
+    drift = np.zeros(rows, dtype=bool)
+    if rows >= d:
+        step = np.diff(v)
+        moved = np.abs(step) > resolution * 0.5
+        up = np.concatenate(([0], np.cumsum(moved & (step > 0))))
+        down = np.concatenate(([0], np.cumsum(moved & (step < 0))))
+        ups, downs = up[d - 1:] - up[:rows - d + 1], down[d - 1:] - down[:rows - d + 1]
+        move[d - 1:] = v[d - 1:] - v[:rows - d + 1]
+        share = np.maximum(ups, downs) / np.maximum(ups + downs, 1)
+        drift[d - 1:] = ((ups + downs > 0) & (share >= 0.85)
+                         & (np.abs(move[d - 1:]) >= span * a.drift_span))
+    return out | {"noise": noisy, "drift": drift, "drift_move": move}
+
+
+EVIDENCE = (("recent_count", "bigint"), ("recent_median", "double"), ("abrupt", "boolean"),
+            ("noise", "boolean"), ("drift", "boolean"), ("drift_move", "double"))
 
 
 def neighbourhood(df: DataFrame, a: Anomaly = DEFAULT.anomaly, keys: Sequence[str] = LIFE) -> DataFrame:
     """Recent median, abrupt, noise and drift evidence of every row, in one shuffle.
 
-    The history of these rules holds every row, also held and discarded ones.
+    The history of these rules holds every row, also held and discarded ones. Each
+    slice comes with the rows before it, so a task sees a bounded block.
     """
-    n, d = a.noise_rows, a.drift_rows
-    rows = with_history(df, keys, max(2 * n - 1, d - 1, 10))
-    w = in_slice(keys)
-    before = w.rowsBetween(-10, -1)
-    out = {}
-    for k in SENSOR_KEYS:
-        step = F.col(k) - F.lag(k).over(w)
-        out |= {f"{k}__recent_count": F.count(k).over(before),
-                f"{k}__recent_median": F.percentile(F.col(k), F.lit(0.5)).over(before),
-                f"_step_{k}": F.when(F.abs(step) > INTEGRITY[k].resolution * 0.5, F.signum(step)),
-                f"_near_{k}": F.collect_list(k).over(w.rowsBetween(-(2 * n - 1), 0))}
-    rows = rows.withColumns(out)
-    out = {}
-    for k in SENSOR_KEYS:
-        steps = w.rowsBetween(-(d - 2), 0)
-        span = w.rowsBetween(-(d - 1), 0)
-        up = F.count(F.when(F.col(f"_step_{k}") > 0, 1)).over(steps)
-        down = F.count(F.when(F.col(f"_step_{k}") < 0, 1)).over(steps)
-        move = F.col(k) - F.first(k).over(span)
-        full = F.count(k).over(span) == d
-        out |= {f"{k}__drift_move": F.when(full, move),
-                f"{k}__drift": F.coalesce(
-                    full & (up + down > 0) & (F.greatest(up, down) / (up + down) >= 0.85)
-                    & (F.abs(move) >= BY_KEY[k].span * a.drift_span), F.lit(False))}
-    rows = rows.withColumns(out).filter(~F.col("is_halo")).drop("is_halo")
-    half = {}
-    for k in SENSOR_KEYS:
-        full = F.size(f"_near_{k}") == 2 * n
-        half |= {f"_old_{k}": F.when(full, _detrended(F.slice(f"_near_{k}", 1, n), n)),
-                 f"_new_{k}": F.when(full, _detrended(F.slice(f"_near_{k}", n + 1, n), n)),
-                 f"_turns_{k}": F.when(full, _sign_changes(F.slice(f"_near_{k}", n + 1, n), n))}
-    rows = rows.withColumns(half)
-    rows = rows.withColumns({f"_mid{side}{k}": _middle(F.col(f"{side}{k}"), n)
-                             for k in SENSOR_KEYS for side in ("_old_", "_new_")})
-    mads = {f"_mad{side}{k}": _middle(_distance(f"{side}{k}", f"_mid{side}{k}"), n)
-            for k in SENSOR_KEYS for side in ("_old_", "_new_")}
-    rows = rows.withColumns(mads)
-    final = {}
-    for k in SENSOR_KEYS:
-        floor = F.greatest(F.col(f"_mad_old_{k}"), F.lit(INTEGRITY[k].resolution))
-        final |= {
-            f"{k}__abrupt": (F.col(f"{k}__recent_count") >= 5) & (
-                F.abs(F.col(k) - F.col(f"{k}__recent_median")) >= abrupt_threshold(k, a)),
-            f"{k}__noise": F.coalesce((F.col(f"_mad_new_{k}") > floor * a.noise_multiplier)
-                                      & (F.col(f"_turns_{k}") >= n // 4), F.lit(False))}
-    rows = rows.withColumns(final)
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
-
-
-def _distance(values: str, center: str) -> Column:
-    return F.transform(values, lambda v: F.abs(v - F.col(center)))
-
-
-def _sign_changes(values: Column, n: int) -> Column:
-    """Interior points that are a strict local turn."""
-    inner = F.slice(values, 2, n - 2)
-    return F.size(F.filter(F.transform(inner, lambda v, i: (
-        (v - F.get(values, i)) * (F.get(values, i + 2) - v))), lambda p: p < 0))
+    rows = with_history(df, keys, max(2 * a.noise_rows - 1, a.drift_rows - 1, 10))
+    names = [f"{k}__{n}" for k in SENSOR_KEYS for n, _ in EVIDENCE]
+    added = T._parse_datatype_string(", ".join(f"{k}__{n} {t}" for k in SENSOR_KEYS for n, t in EVIDENCE))
+    schema = T.StructType([f for f in rows.schema if f.name != "is_halo"] + added.fields)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(ORDER), ignore_index=True)
+        real = ~pdf["is_halo"].to_numpy(dtype=bool)
+        plain = pdf.loc[real].drop(columns=["is_halo"]).reset_index(drop=True)
+        cells = {}
+        for k in SENSOR_KEYS:
+            found = _neighbourhood_block(pdf[k].to_numpy(dtype=float), INTEGRITY[k].resolution,
+                                         BY_KEY[k].span, abrupt_threshold(k, a), a)
+            cells |= {f"{k}__{n}": found[n][real] for n, _ in EVIDENCE}
+        return pd.concat([plain, pd.DataFrame(cells)[names]], axis=1)[[f.name for f in schema]]
+
+    out = rows.groupBy(*keys, "slice").applyInPandas(block, schema)
+    gaps = [f"{k}__{n}" for k in SENSOR_KEYS for n in ("recent_median", "drift_move")]
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in gaps})
 
 
 # ---- constancy ---------------------------------------------------------------
@@ -458,13 +452,14 @@ def detect(df: DataFrame, params: Params = DEFAULT, *, keys: Sequence[str] = LIF
     rows = _with_confirmations(short_gap(df, params, keys), confirmations)
     rows = rows.withColumn("features_ok", _features_ok(rows)).withColumn(
         "interpolated", _interpolated(rows)).withColumn("short", F.col("short_gap"))
-    rows = neighbourhood(context_events(rows, keys), a, keys)
-    rows = rows.withColumns({f"{k}__boundary": at_boundary(k, a) for k in SENSOR_KEYS})
+    rows = cut(context_events(rows, keys).withColumns(
+        {f"{k}__boundary": at_boundary(k, a) for k in SENSOR_KEYS}))
     need = [*keys, "slice", "us", "ingest_seq", *SENSOR_KEYS, "gap_s", "features_ok", "short",
             "interpolated", "confirmed",
             *[f"{k}__{n}" for k in SENSOR_KEYS
               for n in ("context", "boundary", "recent_median", "abrupt", "noise", "drift")]]
-    found = sliced_fold(rows.select(*need), keys, lambda r, s: _ladder_rows(r, s, a),
+    narrow = rows.select(*[c for c in need if not c.endswith(tuple(f"__{n}" for n, _ in EVIDENCE))])
+    found = sliced_fold(neighbourhood(narrow, a, keys).select(*need), keys, lambda r, s: _ladder_rows(r, s, a),
                         "us bigint, ingest_seq bigint, rule string, sensors string, "
                         f"first_us bigint, {PENDING_STATE} string")
     extra = [c for c in ("confirmed_us", "confirmation_source", "confirming_actor",

@@ -8,6 +8,8 @@ is keyed by machine, on a narrow projection.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def monitor(df: DataFrame, params: Params = DEFAULT, *, plan: DataFrame | None =
     wide = forecast.sensor_kalman_forecast(wide, params)
     wide = forecast.prognostic_decision(forecast.prognostic_decision(wide, "warning"), "critical")
     wide = forecast.final_forecast(forecast.enforce_consistency(wide))
-    helper = [c for c in wide.columns if "__w" in c or c.endswith("__trend")]
+    helper = [c for c in wide.columns if re.search(r"__w\d+m__|__trend$", c)]
     decided = add_slice(cut(wide.drop(*helper)), width=day)
 
     limits = forecast.action_thresholds(params)

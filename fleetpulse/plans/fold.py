@@ -4,21 +4,22 @@ A fold carries state from row to row (filters, accept/reject rules, lifecycle
 detection). Running it per machine would put a whole machine into one task, so
 it runs per ``(machine, slice)`` and hands state from slice to slice:
 
-1. every slice runs from the empty state and reports its exit state;
+1. every slice runs from the empty state and reports its rows and exit state;
 2. a slice whose entry state differs from the exit state of the slice before
    it runs again from that state; repeat until nothing changes;
-3. one pass with the settled entry states emits the rows.
+3. of each slice the rows of its last run count.
 
 When nothing changes any more every slice started from exactly the state its
 predecessor ended in, so the rows equal those of one sequential pass. States
-that forget (filters, counters, clocks) settle in two or three rounds; the
-worst case is one round per slice. Only changed slices run again, and the driver
-sees one count per round.
+that forget (filters, counters, clocks) settle after one or two repeats; the
+worst case is one round per slice. Only changed slices run again, each round is
+written to the shared folder, and the driver sees one count per round.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -26,16 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.plans.shared import cut
+from fleetpulse.plans.shared import cut, shared_dir
 from fleetpulse.plans.slices import ORDER
 
 Step = Callable[[pd.DataFrame, dict], pd.DataFrame]
 
 
-def _key_fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[n] for n in names]
-
-
 def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.StructType, *,
                 order: Sequence[str] = ORDER) -> DataFrame:
     """Run ``step(rows, state)`` over each machine's rows in order.
@@ -44,58 +41,70 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
     empty at the start) in place and returns one frame with the columns of ``out``.
     ``df`` needs a ``slice`` column that grows with ``order``.
     """
+    spark = df.sparkSession
     out_fields = (T._parse_datatype_string(out) if isinstance(out, str) else out).fields
     group = [*keys, "slice"]
-    key_fields = _key_fields(df, group)
+    key_fields = [df.schema[n] for n in group]
     row_schema = T.StructType(key_fields + list(out_fields))
-    state_schema = T.StructType(key_fields + [T.StructField("entry", T.StringType()),
-                                              T.StructField("exit", T.StringType())])
+    names = [f.name for f in row_schema]
     sort_by = list(order)
 
-    def run(rows: pd.DataFrame, entry: str | None) -> tuple[pd.DataFrame, str]:
+    def run(key, rows: pd.DataFrame, entry: str | None) -> tuple[pd.DataFrame, str]:
         state = json.loads(entry) if entry else {}
         result = step(rows.sort_values(sort_by, ignore_index=True), state)
-        return result, json.dumps(state, sort_keys=True)
-
-    def exit_only(key, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=[f.name for f in state_schema])
-        entry = entries["entry"].iloc[0] if len(entries) else None
-        _, done = run(rows, entry)
-        return pd.DataFrame([[*key, entry, done]], columns=[f.name for f in state_schema])
-
-    def emit(key, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=[f.name for f in row_schema])
-        result, _ = run(rows, entries["entry"].iloc[0] if len(entries) else None)
         for name, value in zip(group, key):
             result[name] = value
-        return result[[f.name for f in row_schema]]
-
-    def emit_whole(key, rows: pd.DataFrame) -> pd.DataFrame:
-        result, _ = run(rows, None)
-        for name, value in zip(group, key):
-            result[name] = value
-        return result[[f.name for f in row_schema]]
-
-    spread = (df.select(*group).distinct().groupBy(*keys).count()
-              .filter("count > 1").limit(1).count())
-    if not spread:
-        return df.groupBy(*group).applyInPandas(emit_whole, row_schema)
-
-    blank = df.select(*group).limit(0).withColumn("entry", F.lit(None).cast("string"))
+        return result[names], json.dumps(state, sort_keys=True)
+
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return run(key, rows, None)[0]
+
+    several = (df.select(*group).distinct().groupBy(*keys).count()
+               .filter("count > 1").limit(1).count())
+    if not several:
+        return df.groupBy(*group).applyInPandas(whole, row_schema)
+
+    # A marker row per run carries the states; its other cells stay null.
+    run_schema = T.StructType(
+        key_fields + [T.StructField(f.name, f.dataType) for f in out_fields]
+        + [T.StructField("_round", T.IntegerType()), T.StructField("_entry", T.StringType()),
+           T.StructField("_exit", T.StringType())])
+    run_names = [f.name for f in run_schema]
+
+    def rerun(number: int):
+        def call(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame(columns=run_names)
+            entry = entries["entry"].iloc[0] if len(entries) else None
+            result, done = run(key, rows, entry)
+            marker = pd.DataFrame([[*key, number, entry, done]],
+                                  columns=[*group, "_round", "_entry", "_exit"])
+            result["_round"] = number
+            return pd.concat([result, marker], ignore_index=True).reindex(columns=run_names)
+        return call
+
+    source = cut(df.select(*dict.fromkeys([*group, *df.columns])))
+    folder = f"{shared_dir(spark)}/fleetpulse/{uuid.uuid4().hex}"
+    paths: list[str] = []
+
+    def execute(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        number = len(paths)
+        paths.append(f"{folder}/round={number}")
+        (rows.groupBy(*group).cogroup(entries.groupBy(*group))
+         .applyInPandas(rerun(number), run_schema).write.parquet(paths[-1]))
+        return (spark.read.schema(run_schema).parquet(paths[-1]).filter(F.col("_exit").isNotNull())
+                .select(*group, "_round", "_entry", "_exit"))
+
+    none = spark.createDataFrame([], T.StructType(key_fields + [T.StructField("entry", T.StringType())]))
+    states = execute(source, none)
     across = Window.partitionBy(*keys).orderBy("slice")
-    states = cut(df.groupBy(*group).cogroup(blank.groupBy(*group))
-                 .applyInPandas(exit_only, state_schema))
     while True:
-        wanted = states.select(*group, "entry", F.lag("exit").over(across).alias("want"))
-        changed = wanted.filter(~F.col("want").eqNullSafe(F.col("entry"))).select(
-            *group, F.col("want").alias("entry"))
+        wanted = states.select(*group, "_entry", F.lag("_exit").over(across).alias("entry"))
+        changed = cut(wanted.filter(~F.col("entry").eqNullSafe(F.col("_entry"))).select(*group, "entry"))
         if not changed.limit(1).count():
             break
-        again = (df.join(changed.select(*group), group, "left_semi").groupBy(*group)
-                 .cogroup(changed.groupBy(*group)).applyInPandas(exit_only, state_schema))
-        states = cut(states.join(changed.select(*group), group, "left_anti").unionByName(again))
-    entries = states.select(*group, "entry")
-    return (df.groupBy(*group).cogroup(entries.groupBy(*group))
-            .applyInPandas(emit, row_schema))
+        marked = changed.select(*group)
+        fresh = execute(source.join(marked, group, "left_semi"), changed)
+        states = cut(states.join(marked, group, "left_anti").unionByName(fresh))
+    rows = spark.read.schema(run_schema).parquet(*paths).filter(F.col("_exit").isNull())
+    return rows.join(states.select(*group, "_round"), [*group, "_round"], "left_semi").select(*names)

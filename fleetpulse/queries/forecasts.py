@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -364,7 +365,7 @@ def decisions(spark, sf):
         rows = prognosis(spark, sf).join(stat.select(*ID, *cols), ID)
         rows = fc.apply_withholding(fc.suppress_on_reset(rows))
         rows = fc.prognostic_decision(fc.prognostic_decision(rows, "warning"), "critical")
-        return rows.drop(*[c for c in rows.columns if "__w" in c or c.endswith("__trend")])
+        return rows.drop(*[c for c in rows.columns if re.search(r"__w\d+m__|__trend$", c)])
     return table(spark, f"decisions:{sf}", build)
 
 
