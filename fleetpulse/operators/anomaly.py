@@ -26,7 +26,7 @@ from fleetpulse.params import (BY_KEY, DEFAULT, INTEGRITY, PENALTIES, SENSOR_KEY
                                Anomaly, Params)
 from fleetpulse.plans.fold import sliced_fold
 from fleetpulse.plans.shared import cut
-from fleetpulse.plans.slices import ORDER, scan, with_history
+from fleetpulse.plans.slices import ORDER, scan, spread, with_history
 
 LIFE = ("machine_id", "lifecycle_id")
 ALL_SENSORS = "|".join(sorted(SENSOR_KEYS))
@@ -246,7 +246,7 @@ def neighbourhood(df: DataFrame, a: Anomaly = DEFAULT.anomaly, keys: Sequence[st
             cells |= {f"{k}__{n}": found[n][real] for n, _ in EVIDENCE}
         return pd.concat([plain, pd.DataFrame(cells)[names]], axis=1)[[f.name for f in schema]]
 
-    out = rows.groupBy(*keys, "slice").applyInPandas(block, schema)
+    out = spread(rows, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(block, schema)
     gaps = [f"{k}__{n}" for k in SENSOR_KEYS for n in ("recent_median", "drift_move")]
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in gaps})
 
@@ -609,6 +609,8 @@ def interval_marks(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> Data
 
     An open episode matches a row of the same primary type and sensor set. A row
     ends every other open episode that has a sensor the row does not hold active.
+    In the fold an episode goes by the sequence number of its first row; the
+    running number is counted afterwards.
     """
     every = set(SENSOR_KEYS)
 
@@ -627,8 +629,7 @@ def interval_marks(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> Data
                     del open_[number]
             if kind != "NONE" and sensors:
                 if hit is None:
-                    state["next"] = state.get("next", 0) + 1
-                    hit = str(state["next"])
+                    hit = str(seq)
                     if active:
                         open_[hit] = [kind, sensors]
                 elif not active:
@@ -639,14 +640,18 @@ def interval_marks(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> Data
             if hit is not None or ended:
                 out.append([us, seq, int(hit) if hit else None, [int(e) for e in ended]])
         return pd.DataFrame({"us": [o[0] for o in out], "ingest_seq": [o[1] for o in out],
-                             "interval_no": pd.array([o[2] for o in out], dtype="Int64"),
+                             "opened_by": pd.array([o[2] for o in out], dtype="Int64"),
                              "ended": [o[3] for o in out]})
 
     narrow = df.select(*keys, "slice", "us", "ingest_seq",
                        primary_type(F.col("anomaly_types")).alias("primary_type"),
                        "affected_sensors", "anomaly_is_active")
-    return sliced_fold(narrow, keys, step,
-                       "us bigint, ingest_seq bigint, interval_no bigint, ended array<bigint>")
+    marks = cut(sliced_fold(narrow, keys, step,
+                            "us bigint, ingest_seq bigint, opened_by bigint, ended array<bigint>"))
+    opens = (F.col("opened_by") == F.col("ingest_seq")).cast("long")
+    numbers = scan(marks, keys, total={"interval_no": F.coalesce(opens, F.lit(0).cast("long"))}).filter(
+        F.col("opened_by") == F.col("ingest_seq")).select(*keys, "opened_by", "interval_no")
+    return marks.join(numbers, [*keys, "opened_by"], "left")
 
 
 SEVERITY_RANK = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -654,10 +659,10 @@ SEVERITY_RANK = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 def anomaly_intervals(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> DataFrame:
     """One row per episode. Distinct actions are listed in order of first use."""
-    marks = interval_marks(df, keys)
+    marks = cut(interval_marks(df, keys))
     key = [*keys, "interval_no"]
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_RANK]), F.col("anomaly_severity"))
-    members = (marks.filter("interval_no is not null").drop("slice", "ended")
+    members = (marks.filter("interval_no is not null").drop("slice", "ended", "opened_by")
                .join(df.select(*keys, "us", "ingest_seq", "anomaly_types", "affected_sensors",
                                "anomaly_severity", "anomaly_confidence", "safety_action", "model_action",
                                "anomaly_is_active", "first_observed_us", "confirmed_at_us", "suspicion_us",
@@ -677,8 +682,9 @@ def anomaly_intervals(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> D
         seen = members.groupBy(*key, column).agg(F.min(place).alias("_at"))
         return seen.groupBy(*key).agg(F.transform(
             F.array_sort(F.collect_list(F.struct("_at", column))), lambda x: x[column]).alias(column + "s"))
-    closed = marks.select(*keys, "us", F.explode("ended").alias("interval_no")).groupBy(*key).agg(
-        F.max("us").alias("_closed_us"))
+    numbers = marks.filter("opened_by = ingest_seq").select(*keys, "opened_by", "interval_no")
+    closed = (marks.select(*keys, "us", F.explode("ended").alias("opened_by"))
+              .join(numbers, [*keys, "opened_by"]).groupBy(*key).agg(F.max("us").alias("_closed_us")))
     rows = (head.join(in_order("safety_action"), key).join(in_order("model_action"), key)
             .join(closed, key, "left"))
     end = F.coalesce("_closed_us", "_resolved_us")

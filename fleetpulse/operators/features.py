@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from fleetpulse.params import (BY_KEY, DAY_US, DEFAULT, MINUTE_US, SENSOR_KEYS, SENSORS,
                                WINDOWS_MIN, Params)
-from fleetpulse.plans.slices import ORDER, add_slice, in_slice, scan, with_halo, with_history
+from fleetpulse.plans.slices import ORDER, add_slice, in_slice, scan, spread, with_halo, with_history
 
 LIFE = ("machine_id", "lifecycle_id")
 
@@ -222,7 +222,7 @@ def window_features(df: DataFrame, windows_min: Sequence[int] = WINDOWS_MIN, *,
                              index=plain.index)
         return pd.concat([plain, extra], axis=1)[[f.name for f in schema]]
 
-    wide = rows.groupBy(*keys, "slice").applyInPandas(block, schema)
+    wide = spread(rows, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(block, schema)
     if "slope_acceleration_per_hour2" in stats:
         slopes = [f"{k}__w{m}m__slope_per_hour" for k in sensors for m in windows_min]
         wide = scan(wide, keys, lag={"_prev_us": "us", **{f"_prev_{s}": s for s in slopes}})

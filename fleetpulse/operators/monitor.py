@@ -19,6 +19,7 @@ from fleetpulse.plans.shared import cut
 from fleetpulse.plans.slices import add_slice
 
 ROW = ("machine_id", "lifecycle_id", "us", "ingest_seq")
+KEY = ["machine_id", "us", "ingest_seq"]
 FEATURE_STATS = ("slope_per_hour", "sample_count", "coverage_fraction", "gap_or_discontinuity",
                  "available_history_duration_seconds", "feature_available", "window_mature")
 
@@ -28,11 +29,11 @@ def with_lifecycles(df: DataFrame, params: Params = DEFAULT, plan: DataFrame | N
     """Lifecycle id, state, start and reset flags; boundaries are inferred when not given."""
     states = None
     if plan is None:
-        found = cut(state.discover_lifecycles(add_slice(df, width=fold_width), params))
+        found = cut(state.discover_lifecycles(add_slice(df, width=fold_width), params).drop("slice"))
         plan = state.closed_lifecycles(found).select("machine_id", "lifecycle_id", "start_us", "end_us", "reset_us")
         states = found.select("machine_id", "us", "ingest_seq", F.col("lifecycle_state").alias("_phase"))
     plan = plan.select("machine_id", "end_us", "reset_us")
-    rows = df if states is None else df.join(states, ["machine_id", "us", "ingest_seq"])
+    rows = df if states is None else df.join(states, KEY)
     rows = lifecycles.assign_lifecycle(add_slice(rules.machine_status(rows)), plan)
     rows = lifecycles.lifecycle_state(rows, plan, "_phase" if states is not None else None)
     resets = plan.select("machine_id", F.col("reset_us").alias("us"), F.lit(True).alias("_done"))
@@ -51,8 +52,8 @@ def assessed(df: DataFrame, params: Params = DEFAULT, confirmations: DataFrame |
     layers = persistence.stabilized_status(persistence.event_status(
         smooth, state.LIFE, params), state.LIFE, params)
     layers = forecast.history_points(layers, cap=params.monitoring.minimum_forecast_points)
-    layers = layers.drop("slice", "commit", "raw_status", *SENSOR_KEYS)
-    joined = found.drop("slice").join(layers, list(ROW))
+    layers = layers.drop("slice", "lifecycle_id", "commit", "raw_status", *SENSOR_KEYS)
+    joined = found.drop("slice").join(layers, KEY)
     return anomaly.confirmed_critical_quality(joined)
 
 
@@ -72,7 +73,7 @@ def monitor(df: DataFrame, params: Params = DEFAULT, *, plan: DataFrame | None =
 
     windows = features.window_features(rows.filter("commit"), params=params, stats=FEATURE_STATS, width=day)
     windows = features.feature_availability(windows)
-    windows = windows.drop("slice", *SENSOR_KEYS).withColumnRenamed("feature_available", "windows_available")
+    windows = windows.drop("slice", "lifecycle_id", *SENSOR_KEYS).withColumnRenamed("feature_available", "windows_available")
     mature = F.lit(True)
     for k in SENSOR_KEYS:
         for m in features.WINDOWS_MIN:
@@ -83,7 +84,7 @@ def monitor(df: DataFrame, params: Params = DEFAULT, *, plan: DataFrame | None =
                                     teachable(rows).alias("teach")), width=4 * fold_width)
     base = state.healthy_baseline(lessons, params).drop("slice")
 
-    wide = rows.join(windows, list(ROW), "left").join(base, ["machine_id", "us", "ingest_seq"])
+    wide = rows.join(windows, KEY, "left").join(base, KEY)
     ok = F.col("features_available") if "features_available" in df.columns else F.lit(True)
     wide = wide.withColumns({
         "feature_available": ok & F.col("use_for_features") & F.coalesce("windows_available", F.lit(True)),
@@ -96,14 +97,16 @@ def monitor(df: DataFrame, params: Params = DEFAULT, *, plan: DataFrame | None =
     wide = forecast.prognostic_decision(forecast.prognostic_decision(wide, "warning"), "critical")
     wide = forecast.final_forecast(forecast.enforce_consistency(wide))
     helper = [c for c in wide.columns if re.search(r"__w\d+m__|__trend$", c)]
-    decided = add_slice(cut(wide.drop(*helper)), width=day)
+    decided = cut(wide.drop(*helper))
 
+    # The alert latches read four columns; the wide rows are joined once afterwards.
     limits = forecast.action_thresholds(params)
     latches = {f"_alert_{t}": (F.col(t), F.lit(v), state.persistence_minutes(F.lit(t), params))
                for t, v in limits.items()}
-    out = state.alert_latches(decided, latches, params)
-    out = out.withColumn("persistent_crossings", F.array_sort(F.array_compact(F.array(*[
-        F.when(F.col(f"_alert_{t}"), F.lit(t)) for t in limits])))).drop(*latches, "slice")
+    alerts = state.alert_latches(add_slice(decided.select(*ROW, *limits), width=day), latches, params)
+    alerts = alerts.select(*KEY, F.array_sort(F.array_compact(F.array(*[
+        F.when(F.col(f"_alert_{t}"), F.lit(t)) for t in limits]))).alias("persistent_crossings"))
+    out = decided.join(alerts, KEY)
     out = forecast.apply_anomaly_policy(forecast.urgency(out, params))
     out = rules.worst_sensor(out)
     return rules.status_reasons(out, "stabilized_status")

@@ -67,18 +67,14 @@ def smoothed(df: DataFrame, keys: Sequence[str] = LIFE, params: Params = DEFAULT
                 F.lit(100.0), (1.0 - F.least(F.col("degradation"), F.lit(1.0))) * 100.0))))
 
 
-LIFE_ROW = ("us bigint, ingest_seq bigint, lifecycle_number int, lifecycle_state string, "
-            "elapsed_lifecycle_hours double, reset_confidence string, reset_reason string, "
-            "closed string")
-CLOSED = ("lifecycle_id string, start_us bigint, end_us bigint, reset_us bigint, "
-          "duration_hours double, highest_status int, critical_reached boolean, "
-          "confidence string, reason string, pre map<string,double>, post map<string,double>, "
-          "first_raw_warning_us bigint, first_raw_critical_us bigint, "
-          "first_confirmed_warning_us bigint, first_confirmed_critical_us bigint")
-
-
-def _life_row(us, seq, r) -> list:
-    return [us, seq, r["number"], r["phase"], r["elapsed_h"], r["confidence"], r["reason"],
+LIFE_ROW = ("us bigint, ingest_seq bigint, stabilized_status int, event_status int, "
+            "lifecycle_state string, reset_confidence string, reset_reason string, closed string")
+CLOSED = ("end_us bigint, reset_us bigint, critical_reached boolean, confidence string, "
+          "reason string, pre map<string,double>, post map<string,double>")
+
+
+def _life_row(us, seq, status, event, r) -> list:
+    return [us, seq, status, event, r["phase"], r["confidence"], r["reason"],
             json.dumps(r["closed"]) if r["closed"] else None]
 
 
@@ -86,19 +82,34 @@ def _columns(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
 
+def _numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lifecycle number and elapsed hours: counts over the rows that confirm a reset."""
+    end = F.get_json_object("closed", "$.end_us").cast("bigint")
+    rows = scan(rows, keys, total={"_closed": F.col("closed").isNotNull().cast("long")},
+                last={"_start": end})
+    first = rows.groupBy(*keys).agg(F.min("us").alias("_first"))
+    start = F.coalesce("_start", "_first")
+    return rows.join(first, list(keys)).withColumns({
+        "lifecycle_number": (F.col("_closed") + 1).cast("int"), "lifecycle_start_us": start,
+        "elapsed_lifecycle_hours": F.greatest(F.lit(0.0), (F.col("us") - start) / 3.6e9),
+    }).drop("_closed", "_start", "_first")
+
+
 def detect_lifecycles(df: DataFrame, keys: Sequence[str] = MACHINE,
                       params: Params = DEFAULT) -> DataFrame:
     """Reset inference over given status, event status, smoothed levels and severity."""
     def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
         cols = [rows[c].tolist() for c in ("us", "ingest_seq", "stabilized_status", "event_status")]
         levels = list(zip(*[rows[f"{k}__kalman_level"].tolist() for k in SENSOR_KEYS]))
-        out = [_life_row(us, seq, steps.lifecycle_next(state, us, st, ev, lv, sev, params.lifecycle))
+        out = [_life_row(us, seq, st, ev, steps.lifecycle_next(
+                   state, us, st, ev, lv, sev, params.lifecycle))
                for us, seq, st, ev, lv, sev in zip(*cols, levels, rows["smoothed_severity"].tolist())]
         return pd.DataFrame(out, columns=_columns(LIFE_ROW))
 
     need = [*ORDER, "stabilized_status", "event_status", "smoothed_severity",
             *[f"{k}__kalman_level" for k in SENSOR_KEYS]]
-    return sliced_fold(df.select(*keys, "slice", *need), keys, step, LIFE_ROW)
+    found = sliced_fold(df.select(*keys, "slice", *need), keys, step, LIFE_ROW)
+    return _numbered(cut(found), keys)
 
 
 def discover_lifecycles(df: DataFrame, params: Params = DEFAULT,
@@ -109,18 +120,33 @@ def discover_lifecycles(df: DataFrame, params: Params = DEFAULT,
         out = []
         for us, seq, values in zip(rows["us"].tolist(), rows["ingest_seq"].tolist(), cells):
             r = steps.online_next(state, us, values, params)
-            out.append([*_life_row(us, seq, r), r["raw"], r["status"], r["event"]])
-        return pd.DataFrame(out, columns=[*_columns(LIFE_ROW), "raw_status",
-                                          "stabilized_status", "event_status"])
+            out.append([*_life_row(us, seq, r["status"], r["event"], r), r["raw"]])
+        return pd.DataFrame(out, columns=[*_columns(LIFE_ROW), "raw_status"])
 
-    ddl = LIFE_ROW + ", raw_status int, stabilized_status int, event_status int"
-    return sliced_fold(df.select(*keys, "slice", *ORDER, *SENSOR_KEYS), keys, step, ddl)
+    found = sliced_fold(df.select(*keys, "slice", *ORDER, *SENSOR_KEYS), keys, step,
+                        LIFE_ROW + ", raw_status int")
+    return _numbered(cut(found), keys)
 
 
 def closed_lifecycles(life_rows: DataFrame, keys: Sequence[str] = MACHINE) -> DataFrame:
-    """Completed lifecycles as a table, one row each."""
-    return (life_rows.filter(F.col("closed").isNotNull())
-            .select(*keys, F.from_json("closed", CLOSED).alias("c")).select(*keys, "c.*"))
+    """Completed lifecycles as a table: one row each, with its first events and worst status."""
+    n = F.col("lifecycle_number")
+    ends = life_rows.filter(F.col("closed").isNotNull()).select(
+        *keys, (n - 1).alias("lifecycle_number"), F.from_json("closed", CLOSED).alias("c"))
+
+    def first(column, level):
+        return F.min(F.when(F.col(column) >= level, F.col("us")))
+    facts = life_rows.groupBy(*keys, "lifecycle_number").agg(
+        F.min("lifecycle_start_us").alias("start_us"), F.max("event_status").alias("highest_status"),
+        first("stabilized_status", 1).alias("first_raw_warning_us"),
+        first("stabilized_status", 2).alias("first_raw_critical_us"),
+        first("event_status", 1).alias("first_confirmed_warning_us"),
+        first("event_status", 2).alias("first_confirmed_critical_us"))
+    return ends.join(facts, [*keys, "lifecycle_number"]).select(
+        *keys, F.concat(F.lit("lifecycle_"), F.lpad(n.cast("string"), 4, "0")).alias("lifecycle_id"),
+        "start_us", "c.*", F.greatest(F.lit(0.0), (F.col("c.end_us") - F.col("start_us")) / 3.6e9)
+        .alias("duration_hours"), "highest_status", "first_raw_warning_us", "first_raw_critical_us",
+        "first_confirmed_warning_us", "first_confirmed_critical_us")
 
 
 def healthy_baseline(df: DataFrame, params: Params = DEFAULT,
@@ -132,21 +158,21 @@ def healthy_baseline(df: DataFrame, params: Params = DEFAULT,
     the columns it reads.
     """
     names = [f"{k}__{n}" for k in SENSOR_KEYS for n in ("baseline_mean", "baseline_std")]
+    took = [f"_took_{k}" for k in SENSOR_KEYS]
 
     def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
         state.setdefault("base", steps.baseline_start(params.prognostics))
-        out = []
+        out, none = [], [0] * len(SENSOR_KEYS)
         for teach, *values in zip(rows["teach"].tolist(), *[rows[k].tolist() for k in SENSOR_KEYS]):
-            if teach:
-                steps.baseline_next(state, values, params.prognostics)
-            out.append([x for b in state["base"] for x in (b[0], b[1] ** 0.5)]
-                       + [b[2] for b in state["base"]])
-        counts = [f"{k}__baseline_samples" for k in SENSOR_KEYS]
-        return pd.concat([rows[list(ORDER)], pd.DataFrame(out, columns=names + counts)], axis=1)
+            moved = steps.baseline_next(state, values, params.prognostics) if teach else none
+            out.append([x for b in state["base"] for x in (b[0], b[1] ** 0.5)] + moved)
+        return pd.concat([rows[list(ORDER)], pd.DataFrame(out, columns=names + took)], axis=1)
 
     ddl = ", ".join(["us bigint", "ingest_seq bigint", *[f"{n} double" for n in names],
-                     *[f"{k}__baseline_samples bigint" for k in SENSOR_KEYS]])
-    return sliced_fold(df.select(*keys, "slice", *ORDER, "teach", *SENSOR_KEYS), keys, step, ddl)
+                     *[f"{n} bigint" for n in took]])
+    found = sliced_fold(df.select(*keys, "slice", *ORDER, "teach", *SENSOR_KEYS), keys, step, ddl)
+    return scan(cut(found), keys, total={
+        f"{k}__baseline_samples": f"_took_{k}" for k in SENSOR_KEYS}).drop(*took)
 
 
 def persistence_minutes(target: Column, params: Params = DEFAULT) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.plans.shared import cut, shared_dir
-from fleetpulse.plans.slices import ORDER
+from fleetpulse.plans.slices import ORDER, spread
 
 Step = Callable[[pd.DataFrame, dict], pd.DataFrame]
 
@@ -62,7 +62,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
     several = (df.select(*group).distinct().groupBy(*keys).count()
                .filter("count > 1").limit(1).count())
     if not several:
-        return df.groupBy(*group).applyInPandas(whole, row_schema)
+        return spread(df, group).groupBy(*group).applyInPandas(whole, row_schema)
 
     # A marker row per run carries the states; its other cells stay null.
     run_schema = T.StructType(
@@ -90,7 +90,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
     def execute(rows: DataFrame, entries: DataFrame) -> DataFrame:
         number = len(paths)
         paths.append(f"{folder}/round={number}")
-        (rows.groupBy(*group).cogroup(entries.groupBy(*group))
+        (spread(rows, group).groupBy(*group).cogroup(entries.groupBy(*group))
          .applyInPandas(rerun(number), run_schema).write.parquet(paths[-1]))
         return (spark.read.schema(run_schema).parquet(paths[-1]).filter(F.col("_exit").isNotNull())
                 .select(*group, "_round", "_entry", "_exit"))

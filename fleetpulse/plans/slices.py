@@ -143,5 +143,15 @@ def with_history(df: DataFrame, keys: Sequence[str], rows: int,
     return df.withColumn("is_halo", F.lit(False)).unionByName(halo)
 
 
+def spread(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Hash rows by group into the configured number of partitions.
+
+    Python kernels cost far more per byte than scans, so their partitions must not
+    be merged by size: a fixed number keeps adaptive execution from doing so.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *group)
+
+
 def in_slice(keys: Sequence[str], order: Sequence[str] = ORDER):
     return Window.partitionBy(*keys, "slice").orderBy(*order)
