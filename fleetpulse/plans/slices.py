@@ -46,13 +46,15 @@ def _cols(spec: Mapping[str, Column | str] | None) -> dict[str, Column]:
 
 def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
          lag: Mapping | None = None, lead: Mapping | None = None,
-         last: Mapping | None = None, total: Mapping | None = None) -> DataFrame:
+         last: Mapping | None = None, total: Mapping | None = None,
+         after: Mapping | None = None) -> DataFrame:
     """Add columns that look across slice borders.
 
     ``lag``/``lead``: value on the neighbouring row. ``last``: last non-null
     value up to and including this row. ``total``: running sum including it.
+    ``after``: next non-null value strictly after this row.
     """
-    lag, lead, last, total = _cols(lag), _cols(lead), _cols(last), _cols(total)
+    lag, lead, last, total, after = map(_cols, (lag, lead, last, total, after))
     place = F.struct(*order)
     w = Window.partitionBy(*keys, "slice").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -66,6 +68,8 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
         aggs.append(F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_last_{n}"))
     for n, c in total.items():
         aggs.append(F.sum(c).alias(f"_total_{n}"))
+    for n, c in after.items():
+        aggs.append(F.min_by(c, F.when(c.isNotNull(), place)).alias(f"_after_{n}"))
     per_slice = df.groupBy(*keys, "slice").agg(*aggs)
 
     across = Window.partitionBy(*keys).orderBy("slice")
@@ -79,6 +83,10 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
         carry.append(F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_last_{n}"))
     for n in total:
         carry.append(F.sum(f"_total_{n}").over(before).alias(f"_total_{n}"))
+    later = Window.partitionBy(*keys).orderBy(F.col("slice").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    for n in after:
+        carry.append(F.last(f"_after_{n}", ignorenulls=True).over(later).alias(f"_after_{n}"))
     carried = per_slice.select(*keys, "slice", *carry)
 
     inner = [F.col("*")]
@@ -90,6 +98,12 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
         inner.append(F.last(c, ignorenulls=True).over(upto).alias(f"_p_{n}"))
     for n, c in total.items():
         inner.append(F.sum(c).over(upto).alias(f"_s_{n}"))
+    # A frame to the end of the partition is rebuilt for every row; the same rows
+    # in descending order make it a growing frame.
+    down = Window.partitionBy(*keys, "slice").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    for n, c in after.items():
+        inner.append(F.last(c, ignorenulls=True).over(down).alias(f"_n_{n}"))
     joined = df.select(*inner).join(carried, [*keys, "slice"], "left")
 
     out = []
@@ -101,6 +115,8 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
                    .otherwise(F.col("_head")[n]).alias(n))
     for n in last:
         out.append(F.coalesce(f"_p_{n}", f"_last_{n}").alias(n))
+    for n in after:
+        out.append(F.coalesce(f"_n_{n}", f"_after_{n}").alias(n))
     for n in total:
         out.append((F.coalesce(F.col(f"_s_{n}"), F.lit(0))
                     + F.coalesce(F.col(f"_total_{n}"), F.lit(0))).alias(n))
