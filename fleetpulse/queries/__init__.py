@@ -25,4 +25,4 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 def load() -> None:
-    from fleetpulse.queries import anomalies, evaluation, forecasts, profiling, stateful, status, streams, training, windows  # noqa: F401
+    from fleetpulse.queries import anomalies, evaluation, evidence, forecasts, profiling, stateful, status, streams, training, windows  # noqa: F401

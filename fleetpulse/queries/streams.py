@@ -13,7 +13,6 @@ from fleetpulse.params import DAY_US, DEFAULT, SENSOR_KEYS
 from fleetpulse.plans.shared import shared_dir, table
 from fleetpulse.plans.slices import slice_of
 from fleetpulse.queries import query, sqlparts as q
-from fleetpulse.queries.anomalies import faulty
 from fleetpulse.sources.binding import readings
 from fleetpulse.streaming import monitor as st
 
@@ -49,7 +48,7 @@ def source(spark, rows):
 
 
 def streamed(spark, sf):
-    return table(spark, f"streamed:{sf}", lambda: drain(st.stream_monitor(source(spark, faulty(spark, sf)))))
+    return table(spark, f"streamed:{sf}", lambda: drain(st.stream_monitor(source(spark, readings(spark, sf)))))
 
 
 @query("stream_monitor", "R1 R2 R3 R4 R5 R9")
