@@ -166,11 +166,12 @@ def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params =
     while at < len(good):
         tail = state.setdefault("tail", [])
         marks = _evidence(tail, [(g[0], g[1]) for g in good[at:]], params) if params.anomaly.enabled else None
-        for i in range(at, len(good)):
+        begin = at
+        for i in range(begin, len(good)):
             us, values, cell = good[i]
             rule, sensors, first = "NONE", [], us
             if marks is not None:
-                rule, sensors, first = anomaly.ladder_next(state.setdefault("ladder", {}), marks[i - at], params.anomaly)
+                rule, sensors, first = anomaly.ladder_next(state.setdefault("ladder", {}), marks[i - begin], params.anomaly)
                 tail.append([us, values])
             keep = anomaly.FINDINGS[rule][5] not in _HELD
             r = steps.online_next(state, us, values, params, keep)
