@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from fleetpulse.params import (BY_KEY, DAY_US, DEFAULT, MINUTE_US, SENSOR_KEYS, SENSORS,
                                WINDOWS_MIN, Params)
-from fleetpulse.plans.slices import ORDER, add_slice, in_slice, scan, spread, with_halo, with_history
+from fleetpulse.plans.slices import ORDER, add_slice, in_slice, slice_of, spread, with_halo, with_history
 
 LIFE = ("machine_id", "lifecycle_id")
 
@@ -169,10 +169,12 @@ def _window_block(us: np.ndarray, series: dict[str, np.ndarray], codes: dict[str
         turn[1:] = code[1:] != code[:-1]
         turns = _prefix(turn)
         warn, crit = _prefix(code >= 1), _prefix(code >= 2)
+        least, most = rolled.min().to_numpy(), rolled.max().to_numpy()
+        spread_y = np.sqrt(np.maximum(0.0, (yy_old + yy_new) / count - mean * mean))
         stats = {
             "mean": mean + middle, "median": rolled.median().to_numpy(),
-            "minimum": rolled.min().to_numpy(), "maximum": rolled.max().to_numpy(),
-            "std": np.sqrt(np.maximum(0.0, (yy_old + yy_new) / count - mean * mean)),
+            "minimum": least, "maximum": most,
+            "std": np.where(least == most, 0.0, spread_y),
             "slope_per_hour": np.where(
                 sloped, (count * sxy - sx * sy) / np.where(sloped, spread, 1.0) / hours, 0.0),
             "change": raw - raw[lo],
@@ -186,18 +188,24 @@ def _window_block(us: np.ndarray, series: dict[str, np.ndarray], codes: dict[str
 
 def window_features(df: DataFrame, windows_min: Sequence[int] = WINDOWS_MIN, *,
                     sensors: Sequence[str] = SENSOR_KEYS, keys: Sequence[str] = LIFE,
-                    params: Params = DEFAULT, width: int = DAY_US,
+                    params: Params = DEFAULT, width: int = 4 * DAY_US,
                     stats: Sequence[str] = STATS, keep: Sequence[str] = ()) -> DataFrame:
     """Window statistics of committed rows; slope acceleration looks one row back.
 
-    ``keep`` names further columns of ``df`` to carry through.
+    A slice comes with two window lengths of earlier rows: one for its own windows
+    and one for the windows of the row before it. ``keep`` names further columns of
+    ``df`` to carry through.
     """
-    stats = [s for s in STATS if s in set(stats) | {"slope_per_hour"}]
-    inner = [s for s in stats if s != "slope_acceleration_per_hour2"]
-    names = [f"{k}__w{m}m__{s}" for k in sensors for m in windows_min for s in inner]
-    base = [*keys, *ORDER, *sensors, *keep]
-    base = list(dict.fromkeys(base))
-    rows = with_halo(add_slice(df.select(*base), width=width), max(windows_min) * MINUTE_US, width)
+    stats = [s for s in STATS if s in set(stats)]
+    accelerate = "slope_acceleration_per_hour2" in stats
+    names = [f"{k}__w{m}m__{s}" for k in sensors for m in windows_min for s in stats]
+    base = list(dict.fromkeys([*keys, *ORDER, *sensors, *keep]))
+    longest = max(windows_min) * MINUTE_US
+    flat = add_slice(df.select(*base), width=width)
+    if accelerate:
+        rows = with_halo(flat, 2 * longest, width).unionByName(_far_predecessors(flat, keys, longest, width))
+    else:
+        rows = with_halo(flat, longest, width)
     schema = T.StructType([f for f in rows.schema if f.name != "is_halo"]
                           + [T.StructField(n, T.DoubleType()) for n in names])
     expected, max_gap = params.cadence.expected_s, params.cadence.max_gap_s
@@ -216,22 +224,46 @@ def window_features(df: DataFrame, windows_min: Sequence[int] = WINDOWS_MIN, *,
         out = {}
         if real.any():
             for m in windows_min:
-                out.update(_window_block(us, series, codes, m, expected, max_gap))
+                found = _window_block(us, series, codes, m, expected, max_gap)
+                if accelerate:
+                    found.update(_accelerations(us, found))
+                out.update(found)
         plain = pdf.loc[real].drop(columns=["is_halo"])
         extra = pd.DataFrame({n: out[n][real] if out else np.empty(0) for n in names},
                              index=plain.index)
         return pd.concat([plain, extra], axis=1)[[f.name for f in schema]]
 
-    wide = spread(rows, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(block, schema)
-    if "slope_acceleration_per_hour2" in stats:
-        slopes = [f"{k}__w{m}m__slope_per_hour" for k in sensors for m in windows_min]
-        wide = scan(wide, keys, lag={"_prev_us": "us", **{f"_prev_{s}": s for s in slopes}})
-        dt = (F.col("us") - F.col("_prev_us")) / 3.6e9
-        wide = wide.withColumns({
-            s.replace("slope_per_hour", "slope_acceleration_per_hour2"):
-                F.when(dt > 0, (F.col(s) - F.col(f"_prev_{s}")) / dt).otherwise(0.0)
-            for s in slopes}).drop("_prev_us", *[f"_prev_{s}" for s in slopes])
-    return wide
+    return spread(rows, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(block, schema)
+
+
+def _accelerations(us: np.ndarray, cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Change of each slope since the row before, per hour; 0 on the first row."""
+    hours = np.diff(us) / 3.6e9
+    out = {}
+    for name, slope in cells.items():
+        if name.endswith("__slope_per_hour"):
+            change = np.zeros(len(slope))
+            change[1:] = np.where(hours > 0, np.diff(slope) / np.where(hours > 0, hours, 1.0), 0.0)
+            out[name.replace("slope_per_hour", "slope_acceleration_per_hour2")] = change
+    return out
+
+
+def _far_predecessors(flat: DataFrame, keys: Sequence[str], longest: int, width: int) -> DataFrame:
+    """Rows a slice needs from before its halo: the last row before a long silence and its window.
+
+    Usually empty: it takes a silence longer than the longest window. The slice
+    table is small, so this is one equi-join with a few rows.
+    """
+    ends = flat.groupBy(*keys, "slice").agg(F.max("us").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("slice")
+    start = F.col("slice") * F.lit(width)
+    far = ends.withColumn("_last", F.lag("_last").over(before)).filter(F.col("_last") < start - longest)
+    far = far.select(*keys, F.col("slice").alias("_target"), "_last", F.explode(F.sequence(
+        slice_of(F.col("_last") - longest, width), slice_of("_last", width))).alias("slice"))
+    rows = flat.join(far, [*keys, "slice"])
+    reached = F.col("us") + 2 * longest >= F.col("_target") * F.lit(width)
+    return rows.filter((F.col("us") >= F.col("_last") - longest) & ~reached).select(
+        *[F.col("_target").alias(c) if c == "slice" else F.col(c) for c in flat.columns], F.lit(True).alias("is_halo"))
 
 
 def state_features(df: DataFrame) -> DataFrame:

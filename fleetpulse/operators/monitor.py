@@ -71,7 +71,7 @@ def monitor(df: DataFrame, params: Params = DEFAULT, *, plan: DataFrame | None =
     rows = features.elapsed_lifecycle_hours(rows)
     rows = cut(assessed(rows, params, confirmations, fold_width, day))
 
-    windows = features.window_features(rows.filter("commit"), params=params, stats=FEATURE_STATS, width=day)
+    windows = features.window_features(rows.filter("commit"), params=params, stats=FEATURE_STATS, width=4 * day)
     windows = features.feature_availability(windows)
     windows = windows.drop("slice", "lifecycle_id", *SENSOR_KEYS).withColumnRenamed("feature_available", "windows_available")
     mature = F.lit(True)

@@ -178,6 +178,24 @@ def sensor_kalman_forecast(spark, sf):
         F.col(f"{k}__trend_confidence").alias(f"{k}__confidence"))])
 
 
+_SEVS = {s.key: f"greatest((l_{s.key} - {q.d(s.baseline)}) / {q.d(s.span)}, 0)" for s in SENSORS}
+
+
+@query("state_features", "W12", q.with_readings(
+    f"SELECT {KEY}, " + ", ".join(
+        f"{q.r6(f'f_{s.key} - s_{s.key}', 5)} AS {s.key}__fast_slow_difference, {q.r6(f'{s.warning} - l_{s.key}', 5)} AS {s.key}__distance_warning, "
+        f"{q.r6(f'{s.critical} - l_{s.key}', 5)} AS {s.key}__distance_critical, {q.r6(_SEVS[s.key], 5)} AS {s.key}__normalized_severity" for s in SENSORS)
+    + f", {q.r6('greatest(' + ', '.join(_SEVS.values()) + ')', 5)} AS maximum_normalized_severity, "
+    + q.r6(" + ".join(f"{q.d(s.weight)} * {_SEVS[s.key]}" for s in SENSORS), 5) + " AS weighted_normalized_severity FROM lev JOIN (SELECT machine_id, us, "
+    + ", ".join(f"max(t.of_) FILTER (n.sensor = '{k}') AS f_{k}" for k in K)
+    + " FROM sm0 n JOIN sm1 t USING (machine_id, lifecycle_id, sensor, p) GROUP BY machine_id, us) USING (machine_id, us)", q.RAW, PLANNED, SMOOTH, LEVELS))
+def state_features(spark, sf):
+    from fleetpulse.operators import features
+    names = [f"{k}__{n}" for k in K for n in ("fast_slow_difference", "distance_warning", "distance_critical", "normalized_severity")]
+    rows = features.state_features(smooth(spark, sf))
+    return rows.select(*ID, *[r6(c, 5).alias(c) for c in (*names, "maximum_normalized_severity", "weighted_normalized_severity")])
+
+
 _CRIT_OPTS = "list_min(list_filter([" + ", ".join(
     f"CASE WHEN ({_sensor_eta(s, s.critical)}) IS NOT NULL THEN {{'s': ({_sensor_eta(s, s.critical)})::DOUBLE, 'o': {i}, 'n': '{s.key}'}} END"
     for i, s in enumerate(SENSORS)) + "], lambda x: x IS NOT NULL))"
