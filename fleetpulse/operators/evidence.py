@@ -48,6 +48,13 @@ PLAIN = ("model_version", "model_maturity_stage", "model_stage", "model_data_dom
          "probability_threshold_schema_version", "runtime_probability_fn_ceiling", "runtime_validation_fn_ceiling",
          "runtime_test_fn_ceiling", "raw_status")
 AUDIT_COLUMNS = (*TYPES, *FLAGS, *PLAIN)
+# Cells that change from row to row; the others describe the model and repeat.
+PER_ROW = ("withholding_reasons_json", "physical_validation_reasons_json", "feature_readiness_reasons_json",
+           "recommendation_trigger_targets", "recommendation_trigger_probability_targets", "recommendation_trigger_eta_targets",
+           "recommendation_trigger_rules", "probability_threshold_crossings", "physical_validation_passed", "feature_ready",
+           "ood_detected", "target_support_valid", "disagreement_detected", "forecast_withheld", "recommendation_actionable",
+           "recommendation_source", "raw_status")
+PER_MODEL = tuple(c for c in AUDIT_COLUMNS if c not in PER_ROW)
 
 
 def _all(conds) -> Column:
@@ -91,16 +98,21 @@ def _expected_triggers(rows: DataFrame, p: dict[str, Column]) -> DataFrame:
     return rows.withColumns({"_want_p": want_p, "_want_e": want_e, "_want_r": want_r})
 
 
-def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
-    """Adds ``evidence_failures`` (sorted distinct codes) and ``trusted``."""
-    missing = sorted(set(AUDIT_COLUMNS) - set(df.columns))
-    if missing:
-        return df.withColumns({"evidence_failures": F.array(F.lit("missing_audit_evidence")), "trusted": F.lit(False)})
-    rows = df.withColumns({f"_{c}": F.from_json(c, t) for c, t in TYPES.items()})
-    rows = rows.withColumns({f"_{c}": strict_bool(c) for c in FLAGS})
-    p = {c: F.col(f"_{c}") for c in (*TYPES, *FLAGS)}
-    rows = _expected_triggers(rows, p)
-    readable = _all([p[c].isNotNull() for c in (*TYPES, *FLAGS)])
+def _parsed(df: DataFrame, cells) -> tuple[DataFrame, dict[str, Column], Column]:
+    """Typed copies of the given audit cells and whether all of them could be read."""
+    kinds = {c: F.from_json(c, TYPES[c]) for c in cells if c in TYPES}
+    flags = {c: strict_bool(c) for c in cells if c in FLAGS}
+    rows = df.withColumns({f"_{c}": v for c, v in (kinds | flags).items()})
+    p = {c: F.col(f"_{c}") for c in (*kinds, *flags)}
+    return rows, p, _all([v.isNotNull() for v in p.values()])
+
+
+def _failed(checks) -> Column:
+    return F.array_compact(F.array(*[
+        F.when(~F.coalesce(ok, F.lit(False)), code if isinstance(code, Column) else F.lit(code)) for ok, code in checks]))
+
+
+def _model_checks(p: dict[str, Column], mandated) -> list:
     must = _list(mandated)
     effective, loaded = p["effective_required_targets"], p["loaded_model_targets"]
     declared, absent = p["metadata_required_targets"], p["missing_required_model_targets"]
@@ -135,14 +147,7 @@ def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
         (F.col("forecast_policy_contract_version") == CONTRACT, "unsupported_policy_contract_version"),
         ((F.col("urgency_policy_version") == URGENCY) & (F.size(p["urgency_policy_parameters"]) == len(URGENCY_PARAMETERS))
          & _all([p["urgency_policy_parameters"][k] == v for k, v in URGENCY_PARAMETERS.items()]), "unsupported_urgency_policy"),
-        (F.col("probability_threshold_schema_version") == THRESHOLDS, "unsupported_threshold_schema_version"),
-        (p["physical_validation_passed"] & none("physical_validation_reasons_json"), "physical_validation_failed"),
-        (p["feature_ready"] & none("feature_readiness_reasons_json"), "feature_readiness_failed"),
-        (~p["ood_detected"] & p["target_support_valid"] & ~p["disagreement_detected"], "runtime_guardrail_failed"),
-        (p["forecast_withheld"] | none("withholding_reasons_json"), "withholding_contradiction"),
-        (~p["recommendation_actionable"] | (F.col("recommendation_source") == "ml"), "recommendation_not_actionable_ml"),
-        (_same(p["recommendation_trigger_targets"], F.array_union(
-            p["recommendation_trigger_probability_targets"], p["recommendation_trigger_eta_targets"])), "trigger_target_union_mismatch")]
+        (F.col("probability_threshold_schema_version") == THRESHOLDS, "unsupported_threshold_schema_version")]
 
     for t in PROBABILITY_TARGETS:
         on = F.array_contains(effective, t)
@@ -182,7 +187,20 @@ def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
             if part == "validation":
                 add(p["model_recorded_probability_fn_ceiling"][t] == cap, "recorded_fn_ceiling_mismatch", has=numbers)
                 add(p["effective_probability_fn_ceiling"][t] == F.least(ceiling, cap), "effective_fn_ceiling_mismatch", has=numbers)
+    return checks
+
 
+def _row_checks(p: dict[str, Column]) -> list:
+    def none(c):
+        return F.size(p[c]) == 0
+    checks: list[tuple[Column, Column | str]] = [
+        (p["physical_validation_passed"] & none("physical_validation_reasons_json"), "physical_validation_failed"),
+        (p["feature_ready"] & none("feature_readiness_reasons_json"), "feature_readiness_failed"),
+        (~p["ood_detected"] & p["target_support_valid"] & ~p["disagreement_detected"], "runtime_guardrail_failed"),
+        (p["forecast_withheld"] | none("withholding_reasons_json"), "withholding_contradiction"),
+        (~p["recommendation_actionable"] | (F.col("recommendation_source") == "ml"), "recommendation_not_actionable_ml"),
+        (_same(p["recommendation_trigger_targets"], F.array_union(
+            p["recommendation_trigger_probability_targets"], p["recommendation_trigger_eta_targets"])), "trigger_target_union_mismatch")]
     got = p["recommendation_trigger_probability_targets"]
     checks += [(_same(p["probability_threshold_crossings"], F.col("_expected")), "threshold_crossing_mismatch"),
                (_same(got, F.col("_want_p")), F.when(F.size(F.array_except("_want_p", got)) > 0, "missing_expected_probability_trigger")
@@ -195,12 +213,32 @@ def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
     for t in ETA_TARGETS:
         checks.append((~F.array_contains(p["recommendation_trigger_eta_targets"], t)
                        | F.coalesce(F.col(f"ml_{t}_hours") >= 0, F.lit(False)), f"invalid_eta_trigger_target:{t}"))
+    return checks
+
+
+def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
+    """Adds ``evidence_failures`` (sorted distinct codes) and ``trusted``.
 
-    failed = F.array_sort(F.array_distinct(F.array_compact(F.array(*[
-        F.when(~F.coalesce(ok, F.lit(False)), code if isinstance(code, Column) else F.lit(code)) for ok, code in checks]))))
-    out = rows.withColumn("evidence_failures", F.when(readable, failed).otherwise(F.array(F.lit("malformed_audit_row"))))
-    return out.withColumn("trusted", F.size("evidence_failures") == 0).drop(
-        *[f"_{c}" for c in (*TYPES, *FLAGS)], *[f"_hit_{t}" for t in PROBABILITY_TARGETS], "_expected", "_want_p", "_want_e", "_want_r")
+    Cells that describe the model repeat over many rows, so each distinct set of
+    them is parsed and checked once and joined back by its digest.
+    """
+    missing = sorted(set(AUDIT_COLUMNS) - set(df.columns))
+    if missing:
+        return df.withColumns({"evidence_failures": F.array(F.lit("missing_audit_evidence")), "trusted": F.lit(False)})
+    digest = F.sha2(F.to_json(F.struct(*PER_MODEL)), 256)
+    rows = df.withColumn("_digest", digest)
+    once, p, readable = _parsed(rows.select("_digest", *PER_MODEL).dropDuplicates(["_digest"]), PER_MODEL)
+    kept = ("selected_probability_thresholds", "probability_target_eligibility", "production_policy_passed")
+    once = once.select("_digest", _failed(_model_checks(p, mandated)).alias("_model_failures"),
+                       F.coalesce(readable, F.lit(False)).alias("_model_ok"), *[f"_{c}" for c in kept])
+    rows, own, legible = _parsed(rows.join(once, "_digest"), PER_ROW)
+    own |= {c: F.col(f"_{c}") for c in kept}
+    rows = _expected_triggers(rows, own)
+    failures = F.array_sort(F.array_distinct(F.concat("_model_failures", _failed(_row_checks(own)))))
+    clean = F.col("_model_ok") & F.coalesce(legible, F.lit(False))
+    out = rows.select(*df.columns, F.when(clean, failures).otherwise(
+        F.array(F.lit("malformed_audit_row"))).alias("evidence_failures"))
+    return out.withColumn("trusted", F.size("evidence_failures") == 0)
 
 
 def failure_counts(df: DataFrame) -> DataFrame:
