@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 SLICE_CHARS = 8 << 20  # texts handed to the function at a time, though never less than one text
 
 
-def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` characters."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -25,11 +25,12 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
 
 
 def with_results(docs: DataFrame, keep: list[str], text_col: str, results: str,
-                 make: Callable[[], Callable[[list[str]], list]], drop: bool = False) -> DataFrame:
+                 make: Callable[[], Callable[[list[str]], list]], drop: bool = False, most: int = SLICE_CHARS,
+                 empty: str | bytes = "") -> DataFrame:
     """Columns ``keep`` as they are, and the columns ``results`` (DDL) computed from the texts.
 
     ``make()`` is called once per task and returns a function from a list of
-    texts (null: empty) to one list of values per result column. With ``drop``,
+    texts (null: ``empty``) to one list of values per result column. With ``drop``,
     the function returns, before these, a list of flags; False leaves a row out.
     """
     kept = docs.select(*keep)
@@ -41,8 +42,8 @@ def with_results(docs: DataFrame, keep: list[str], text_col: str, results: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for low, high in slices(texts):
+            texts = [t or empty for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for low, high in slices(texts, most):
                 part = batch.slice(low, high - low)
                 columns = apply(texts[low:high])
                 arrays = [part.column(i) for i in range(len(keep))]
