@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import bpe, language, oracles, toxicity
 from fleetpulse.llm.licenses import license_scan
+from fleetpulse.llm.near import near_duplicates
 from fleetpulse.llm.packing import pack
 from fleetpulse.llm.quality import quality
+from fleetpulse.llm.repeats import repeated_spans
 from fleetpulse.llm.secrets import joined, secret_scan
 
 
@@ -27,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
@@ -55,6 +61,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated span: its words, and how many of them are not the first occurrence."""
+    spans = repeated_spans(_table(spark, sf_dir, "documents"))
+    cut = F.aggregate(
+        F.filter("cuts", lambda c: (c["start"] < F.col("span.end")) & (c["end"] > F.col("span.start"))), F.lit(0),
+        lambda n, c: n + F.least(c["end"], F.col("span.end")) - F.greatest(c["start"], F.col("span.start")))
+    return spans.select("doc_id", "cuts", F.explode("repeats").alias("span")).select(
+        "doc_id", F.col("span.start").cast("long").alias("start_word"), F.col("span.end").cast("long").alias("end_word"),
+        cut.cast("long").alias("cut_words"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -66,10 +83,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op3_packing": op3_packing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
