@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from fleetpulse.llm.rows import with_results
 
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-KNOWN_WORDS = 800_000  # words kept per worker
+KNOWN_WORDS = 300_000  # words kept per worker
 NEVER = 1 << 62
 END, LETTERS = 256, 257
 LONG = 64  # bytes; longer words go through one by one
