@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetpulse.llm import bpe, language, oracles, toxicity
 from fleetpulse.llm.licenses import license_scan
 from fleetpulse.llm.near import near_duplicates
+from fleetpulse.llm.nearest import nearest
 from fleetpulse.llm.packing import pack
 from fleetpulse.llm.quality import quality
 from fleetpulse.llm.repeats import repeated_spans
@@ -25,6 +26,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -82,6 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe": op5_bpe,
