@@ -4,7 +4,7 @@ Gaps, context events and boundary runs are window work; recent medians, noise an
 drift look at a bounded number of earlier rows and run vectorised per slice (a
 sliding frame would recompute every window for every row). Only what must remember earlier
 decisions (frozen spike baselines, recovery countdown, clip counters that stop
-while a stronger rule fires, constancy runs) is folded, on a few narrow columns.
+while a stronger rule fires, starts of constancy runs) is folded, on a few narrow columns.
 A finding is a rule name; its quality status, action, confidence and training
 flags are looked up from one table of fixed values.
 """
@@ -253,26 +253,46 @@ def neighbourhood(df: DataFrame, a: Anomaly = DEFAULT.anomaly, keys: Sequence[st
 
 # ---- constancy ---------------------------------------------------------------
 
-def constancy_next(state: dict, us: int, values, context) -> list[tuple]:
-    """Run of unchanged readings per sensor, measured against the run's first value.
+def run_next(runs: list, i: int, key: str, us: int, v: float, context: bool) -> float | None:
+    """One reading of a sensor in its run of unchanged readings, measured against the run's first value.
 
-    Returns (run seconds, longest earlier run, context events in the run, seconds
-    since the last one) per sensor.
+    ``runs[i]`` is [first value, start, context events, time of the last one].
+    Returns the seconds of the run that this reading ends, if it ends one.
+    """
+    run, ended = runs[i], None
+    if run is None:
+        run = runs[i] = [v, us, 0, None]
+    elif abs(v - run[0]) > INTEGRITY[key].resolution * 0.5:
+        ended = (us - run[1]) / 1e6
+        run[:] = [v, us, 0, None]
+    if context:
+        run[2] += 1
+        run[3] = us
+    return ended
+
+
+def run_cells(run: list, us: int) -> tuple[int, int, float]:
+    """(start, context events, seconds since the last one) of a run at one of its readings."""
+    return run[1], run[2], (us - run[3]) / 1e6 if run[3] is not None else 0.0
+
+
+def carried_runs(state: dict, row: dict, a: Anomaly) -> dict:
+    """The run evidence of one row where rows come one by one, as in a stream.
+
+    The longest earlier run is a number that never forgets; batch work takes it
+    from a scan and keeps it out of the state that slices hand on.
     """
     runs = state.setdefault("runs", [None] * len(SENSOR_KEYS))
-    out = []
-    for i, (k, v) in enumerate(zip(SENSOR_KEYS, values)):
-        run = runs[i]
-        if run is None:
-            run = runs[i] = [v, us, 0.0, 0, None]
-        elif abs(v - run[0]) > INTEGRITY[k].resolution * 0.5:
-            run[:] = [v, us, max(run[2], (us - run[1]) / 1e6), 0, None]
-        if context[i]:
-            run[3] += 1
-            run[4] = us
-        out.append(((us - run[1]) / 1e6, run[2], run[3],
-                    (us - run[4]) / 1e6 if run[4] is not None else 0.0))
-    return out
+    longest = state.setdefault("longest", [0.0] * len(SENSOR_KEYS))
+    row["runs"], row["starts"] = [], {}
+    for i, (k, v) in enumerate(zip(SENSOR_KEYS, row["values"])):
+        ended = run_next(runs, i, k, row["us"], v, row["context"][i])
+        longest[i] = max(longest[i], ended or 0.0)
+        start, events, quiet = run_cells(runs[i], row["us"])
+        row["runs"].append(((row["us"] - start) / 1e6, longest[i], events, quiet))
+        row["starts"][k] = start
+    row["stuck"] = [stuck_level(k, run, a) for k, run in zip(SENSOR_KEYS, row["runs"])]
+    return row
 
 
 def stuck_level(key: str, run: tuple, a: Anomaly) -> int:
@@ -286,27 +306,55 @@ def stuck_level(key: str, run: tuple, a: Anomaly) -> int:
     return 2 if (seconds >= m.stuck_suspect_s * factor and enough and quiet >= m.response_s) else 1
 
 
+RUN = (("since", "bigint"), ("ended_s", "double"), ("context_events", "int"), ("quiet_s", "double"))
+
+
 def constancy(df: DataFrame, params: Params = DEFAULT, keys: Sequence[str] = LIFE) -> DataFrame:
-    """Constancy runs and stuck evidence of every row (stand-alone)."""
-    cells = ("run_s", "longest_s", "context_events", "stuck")
+    """Constancy runs and stuck evidence of every row.
+
+    Where a run starts depends on its first value, so starts are folded; that state
+    forgets with every change of value. The longest earlier run is the running
+    maximum of the runs that ended, taken over slices by a scan.
+    """
+    names = [f"{k}__{n}" for k in SENSOR_KEYS for n, _ in RUN]
 
     def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-        values = zip(*[rows[k].tolist() for k in SENSOR_KEYS])
-        ctx = zip(*[rows[f"{k}__context"].tolist() for k in SENSOR_KEYS])
-        out = []
-        for us, v, c in zip(rows["us"].tolist(), values, ctx):
-            row = []
-            for k, run in zip(SENSOR_KEYS, constancy_next(state, us, v, c)):
-                row += [*run[:3], stuck_level(k, run, params.anomaly)]
-            out.append(row)
-        names = [f"{k}__{c}" for k in SENSOR_KEYS for c in cells]
-        return pd.concat([rows[["us", "ingest_seq"]], pd.DataFrame(out, columns=names)], axis=1)
+        runs = state.setdefault("runs", [None] * len(SENSOR_KEYS))
+        times = rows["us"].tolist()
+        cells = {}
+        for i, k in enumerate(SENSOR_KEYS):
+            out = []
+            for us, v, c in zip(times, rows[k].tolist(), rows[f"{k}__context"].tolist()):
+                ended = run_next(runs, i, k, us, v, c)
+                start, events, quiet = run_cells(runs[i], us)
+                out.append((start, ended, events, quiet))
+            for (n, _), column in zip(RUN, zip(*out) if out else [()] * len(RUN)):
+                cells[f"{k}__{n}"] = list(column)
+        return pd.concat([rows[["us", "ingest_seq"]], pd.DataFrame(cells, columns=names)], axis=1)
+
+    rows = df if f"{SENSOR_KEYS[0]}__context" in df.columns else context_events(df, keys)
+    ddl = ", ".join(["us bigint", "ingest_seq bigint"] + [f"{k}__{n} {t}" for k in SENSOR_KEYS for n, t in RUN])
+    found = sliced_fold(rows.select(*keys, "slice", "us", "ingest_seq", *SENSOR_KEYS,
+                                    *[f"{k}__context" for k in SENSOR_KEYS]), keys, step, ddl)
+    found = found.withColumns({f"{k}__ended_s": F.nanvl(F.col(f"{k}__ended_s"), F.lit(None).cast("double")) for k in SENSOR_KEYS})
+    found = scan(found, keys, high={f"{k}__longest_s": f"{k}__ended_s" for k in SENSOR_KEYS})
+    out = {}
+    for k in SENSOR_KEYS:
+        out[f"{k}__longest_s"] = F.coalesce(F.col(f"{k}__longest_s"), F.lit(0.0))
+        out[f"{k}__run_s"] = (F.col("us") - F.col(f"{k}__since")) / 1e6
+    found = found.withColumns(out)
+    return found.withColumns({f"{k}__stuck": stuck_column(k, params.anomaly) for k in SENSOR_KEYS}).drop(
+        *[f"{k}__ended_s" for k in SENSOR_KEYS])
+
 
-    ddl = ", ".join(["us bigint", "ingest_seq bigint"] + [
-        f"{k}__{c} {t}" for k in SENSOR_KEYS for c, t in zip(cells, ("double", "double", "int", "int"))])
-    rows = context_events(df, keys)
-    return sliced_fold(rows.select(*keys, "slice", "us", "ingest_seq", *SENSOR_KEYS,
-                                   *[f"{k}__context" for k in SENSOR_KEYS]), keys, step, ddl)
+def stuck_column(key: str, a: Anomaly) -> Column:
+    """:func:`stuck_level` of the run columns."""
+    m = INTEGRITY[key]
+    seconds, longest, events, quiet = (F.col(f"{key}__{n}") for n in ("run_s", "longest_s", "context_events", "quiet_s"))
+    factor = 1.0 if m.exact_values else 2.0
+    none = (events == 0) | (seconds <= F.greatest(F.lit(float(m.stuck_observe_s * factor)), longest * 1.5))
+    enough = (events >= a.context_events + (not m.exact_values)) & (seconds >= m.stuck_suspect_s * factor) & (quiet >= m.response_s)
+    return F.when(none, 0).when(enough, 2).otherwise(1)
 
 
 # ---- the decision ladder -------------------------------------------------------
@@ -341,13 +389,12 @@ def pending_next(state: dict, us: int, values, medians, abrupt, a: Anomaly):
 def ladder_next(state: dict, row: dict, a: Anomaly) -> tuple[str, list[str], int]:
     """Highest finding of one row: rule, sensors, time it was first seen.
 
-    ``row`` holds the values and evidence of the row. Lower rules do not move
-    their counters while a higher one fires.
+    ``row`` holds the values and evidence of the row, with the start and the stuck
+    level of each sensor's run. Lower rules do not move their counters while a
+    higher one fires.
     """
-    us, values = row["us"], row["values"]
+    us, values, starts = row["us"], row["values"], row["starts"]
     last, state["us"] = state.get("us"), us
-    runs = constancy_next(state, us, values, row["context"])
-    starts = {k: state["runs"][i][1] for i, k in enumerate(SENSOR_KEYS)}
     if row["confirmed"]:
         return "CONFIRMED", row["confirmed"], min(starts[k] for k in row["confirmed"])
     everything = list(SENSOR_KEYS)
@@ -365,7 +412,7 @@ def ladder_next(state: dict, row: dict, a: Anomaly) -> tuple[str, list[str], int
     clipped = [k for k, n in zip(SENSOR_KEYS, clips) if n >= a.clip_rows]
     if clipped:
         return "CLIPPING", clipped, us
-    stuck = [stuck_level(k, run, a) for k, run in zip(SENSOR_KEYS, runs)]
+    stuck = row["stuck"]
     if any(stuck):
         worst = max(stuck)
         hit = [k for k, s in zip(SENSOR_KEYS, stuck) if s == worst or (worst == 1 and s)]
@@ -395,7 +442,7 @@ PENDING_STATE = "pending_json"
 def _ladder_rows(rows: pd.DataFrame, state: dict, a: Anomaly) -> pd.DataFrame:
     def triple(suffix):
         return list(zip(*[rows[f"{k}{suffix}"].tolist() for k in SENSOR_KEYS]))
-    cells = {"values": triple(""), "context": triple("__context"), "boundary": triple("__boundary"),
+    cells = {"values": triple(""), "stuck": triple("__stuck"), "since": triple("__since"), "boundary": triple("__boundary"),
              "medians": triple("__recent_median"), "abrupt": triple("__abrupt"),
              "noise": triple("__noise"), "drift": triple("__drift")}
     plain = {c: rows[c].tolist() for c in ("us", "gap_s", "features_ok", "short", "interpolated", "confirmed")}
@@ -403,6 +450,7 @@ def _ladder_rows(rows: pd.DataFrame, state: dict, a: Anomaly) -> pd.DataFrame:
     for i in range(len(rows)):
         row = {n: v[i] for n, v in cells.items()} | {n: v[i] for n, v in plain.items()}
         row["confirmed"] = [c for c in (row["confirmed"] or "").split("|") if c]
+        row["starts"] = dict(zip(SENSOR_KEYS, row["since"]))
         rule, found, first = ladder_next(state, row, a)
         since = {k: p["since"] for k, p in state.get("pending", {}).items()}
         out.append([rule, "|".join(sorted(found)), first, json.dumps(since, sort_keys=True)])
@@ -457,8 +505,12 @@ def detect(df: DataFrame, params: Params = DEFAULT, *, keys: Sequence[str] = LIF
     need = [*keys, "slice", "us", "ingest_seq", *SENSOR_KEYS, "gap_s", "features_ok", "short",
             "interpolated", "confirmed",
             *[f"{k}__{n}" for k in SENSOR_KEYS
-              for n in ("context", "boundary", "recent_median", "abrupt", "noise", "drift")]]
-    narrow = rows.select(*[c for c in need if not c.endswith(tuple(f"__{n}" for n, _ in EVIDENCE))])
+              for n in ("stuck", "since", "boundary", "recent_median", "abrupt", "noise", "drift")]]
+    place = [*keys, "slice", "us", "ingest_seq"]
+    runs = constancy(rows.select(*place, *SENSOR_KEYS, *[f"{k}__context" for k in SENSOR_KEYS]), params, keys).select(
+        *place, *[f"{k}__{n}" for k in SENSOR_KEYS for n in ("stuck", "since")])
+    own = {c for c in need if not c.endswith(tuple(f"__{n}" for n, _ in EVIDENCE)) and not c.endswith(("__stuck", "__since"))}
+    narrow = rows.select(*[c for c in need if c in own]).join(runs, place)
     found = sliced_fold(neighbourhood(narrow, a, keys).select(*need), keys, lambda r, s: _ladder_rows(r, s, a),
                         "us bigint, ingest_seq bigint, rule string, sensors string, "
                         f"first_us bigint, {PENDING_STATE} string")

@@ -21,10 +21,15 @@ SEED = 42
 
 # ---- fitting ---------------------------------------------------------------------
 
+MISSING = -1e12  # far below every feature, so that a tree can part missing values from all others
+
+
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """All rows with their feature vector; null and NaN become ``MISSING``."""
     safe = {c: f"f{i}" for i, c in enumerate(cols)}
-    rows = df.select("*", *[F.col(f"`{c}`").alias(n) for c, n in safe.items()])
-    out = VectorAssembler(inputCols=list(safe.values()), outputCol="features", handleInvalid="skip").transform(rows)
+    rows = df.select("*", *[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")),
+                                       F.lit(MISSING)).alias(n) for c, n in safe.items()])
+    out = VectorAssembler(inputCols=list(safe.values()), outputCol="features", handleInvalid="error").transform(rows)
     return out.drop(*safe.values())
 
 

@@ -10,15 +10,20 @@ it runs per ``(machine, slice)`` and hands state from slice to slice:
 3. of each slice the rows of its last run count.
 
 When nothing changes any more every slice started from exactly the state its
-predecessor ended in, so the rows equal those of one sequential pass. States
-that forget (filters, counters, clocks) settle after one or two repeats; the
-worst case is one round per slice. Only changed slices run again, each round is
-written to the shared folder, and the driver sees one count per round.
+predecessor ended in, so the rows equal those of one sequential pass. How many
+rounds that takes depends on how soon a state forgets: a counter or clock that
+restarts within a slice settles in the second round, a filter with decay d as
+soon as d to the power of the rows per slice is below double precision, and a
+state that never forgets needs one round per slice in the worst case. Numbers
+that never forget (maxima, sums) therefore don't belong in a state; ``scan``
+carries them. Only changed slices run again, each round is written to the
+shared folder, and the driver sees one count per round, which is logged.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -31,6 +36,7 @@ from fleetpulse.plans.shared import cut, shared_dir
 from fleetpulse.plans.slices import ORDER, spread
 
 Step = Callable[[pd.DataFrame, dict], pd.DataFrame]
+log = logging.getLogger(__name__)
 
 
 def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.StructType, *,
@@ -45,8 +51,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
     out_fields = (T._parse_datatype_string(out) if isinstance(out, str) else out).fields
     group = [*keys, "slice"]
     key_fields = [df.schema[n] for n in group]
-    row_schema = T.StructType(key_fields + list(out_fields))
-    names = [f.name for f in row_schema]
+    names = [*group, *[f.name for f in out_fields]]
     sort_by = list(order)
 
     def run(key, rows: pd.DataFrame, entry: str | None) -> tuple[pd.DataFrame, str]:
@@ -56,14 +61,6 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
             result[name] = value
         return result[names], json.dumps(state, sort_keys=True)
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return run(key, rows, None)[0]
-
-    several = (df.select(*group).distinct().groupBy(*keys).count()
-               .filter("count > 1").limit(1).count())
-    if not several:
-        return spread(df, group).groupBy(*group).applyInPandas(whole, row_schema)
-
     # A marker row per run carries the states; its other cells stay null.
     run_schema = T.StructType(
         key_fields + [T.StructField(f.name, f.dataType) for f in out_fields]
@@ -106,5 +103,8 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
         marked = changed.select(*group)
         fresh = execute(source.join(marked, group, "left_semi"), changed)
         states = cut(states.join(marked, group, "left_anti").unionByName(fresh))
+    log.info("fold over %s settled after %d rounds", ", ".join(group), len(paths))
     rows = spark.read.schema(run_schema).parquet(*paths).filter(F.col("_exit").isNull())
+    if len(paths) == 1:  # every slice's first run counts
+        return rows.select(*names)
     return rows.join(states.select(*group, "_round"), [*group, "_round"], "left_semi").select(*names)

@@ -39,8 +39,8 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, probs: Sequence
         high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
         share = F.max(place - F.floor(place))
         cells.append(low + (high - low) * share)
-    out = ranked.groupBy(*group).agg(F.array(*cells).alias(name))
-    return out if by else out.drop("_one")
+    # Without groups there is one row also for an empty input, with a null per quantile.
+    return ranked.groupBy(*group if by else ()).agg(F.array(*cells).alias(name))
 
 
 def join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

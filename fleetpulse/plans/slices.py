@@ -47,14 +47,15 @@ def _cols(spec: Mapping[str, Column | str] | None) -> dict[str, Column]:
 def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
          lag: Mapping | None = None, lead: Mapping | None = None,
          last: Mapping | None = None, total: Mapping | None = None,
-         after: Mapping | None = None) -> DataFrame:
+         after: Mapping | None = None, high: Mapping | None = None) -> DataFrame:
     """Add columns that look across slice borders.
 
     ``lag``/``lead``: value on the neighbouring row. ``last``: last non-null
     value up to and including this row. ``total``: running sum including it.
-    ``after``: next non-null value strictly after this row.
+    ``after``: next non-null value strictly after this row. ``high``: largest value
+    up to and including this row.
     """
-    lag, lead, last, total, after = map(_cols, (lag, lead, last, total, after))
+    lag, lead, last, total, after, high = map(_cols, (lag, lead, last, total, after, high))
     place = F.struct(*order)
     w = Window.partitionBy(*keys, "slice").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -70,6 +71,8 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
         aggs.append(F.sum(c).alias(f"_total_{n}"))
     for n, c in after.items():
         aggs.append(F.min_by(c, F.when(c.isNotNull(), place)).alias(f"_after_{n}"))
+    for n, c in high.items():
+        aggs.append(F.max(c).alias(f"_high_{n}"))
     per_slice = df.groupBy(*keys, "slice").agg(*aggs)
 
     across = Window.partitionBy(*keys).orderBy("slice")
@@ -83,6 +86,8 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
         carry.append(F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_last_{n}"))
     for n in total:
         carry.append(F.sum(f"_total_{n}").over(before).alias(f"_total_{n}"))
+    for n in high:
+        carry.append(F.max(f"_high_{n}").over(before).alias(f"_high_{n}"))
     later = Window.partitionBy(*keys).orderBy(F.col("slice").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
     for n in after:
@@ -98,6 +103,8 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
         inner.append(F.last(c, ignorenulls=True).over(upto).alias(f"_p_{n}"))
     for n, c in total.items():
         inner.append(F.sum(c).over(upto).alias(f"_s_{n}"))
+    for n, c in high.items():
+        inner.append(F.max(c).over(upto).alias(f"_h_{n}"))
     # A frame to the end of the partition is rebuilt for every row; the same rows
     # in descending order make it a growing frame.
     down = Window.partitionBy(*keys, "slice").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
@@ -120,6 +127,8 @@ def scan(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ORDER,
     for n in total:
         out.append((F.coalesce(F.col(f"_s_{n}"), F.lit(0))
                     + F.coalesce(F.col(f"_total_{n}"), F.lit(0))).alias(n))
+    for n in high:
+        out.append(F.greatest(F.col(f"_h_{n}"), F.col(f"_high_{n}")).alias(n))
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 

@@ -128,6 +128,10 @@ def aligned_labels(spark, sf):
 
 
 _RATES = ", ".join(f"{q.r6(e)} AS {n}" for n, e in {
+    "fn_rate": "fn / nullif(tp + fn, 0)::DOUBLE", "fp_rate": "fp / nullif(tn + fp, 0)::DOUBLE", "precision": "tp / nullif(tp + fp, 0)::DOUBLE",
+    "recall": "tp / nullif(tp + fn, 0)::DOUBLE", "specificity": "tn / nullif(tn + fp, 0)::DOUBLE",
+    "f1": "CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END"}.items())
+_RATES_0 = ", ".join(f"{q.r6(f'coalesce({e}, 0)')} AS {n}" for n, e in {
     "fn_rate": "fn / nullif(tp + fn, 0)::DOUBLE", "fp_rate": "fp / nullif(tn + fp, 0)::DOUBLE", "precision": "tp / nullif(tp + fp, 0)::DOUBLE",
     "recall": "tp / nullif(tp + fn, 0)::DOUBLE", "specificity": "tn / nullif(tn + fp, 0)::DOUBLE",
     "f1": "2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0)"}.items())
@@ -290,7 +294,7 @@ def lead_time_halves(spark, sf):
 
 
 @query("group_metrics", "E13", q.with_readings(f"""
-SELECT dimension, g AS "group", tp, tn, fp, fn, lifecycle_count, tp + fn AS positive_rows, tn + fp AS negative_rows, {_RATES} FROM (
+SELECT dimension, g AS "group", tp, tn, fp, fn, lifecycle_count, tp + fn AS positive_rows, tn + fp AS negative_rows, {_RATES_0} FROM (
   SELECT 'bucket' AS dimension, {_BUCKET} AS g, count(DISTINCT machine_id || lifecycle_id) AS lifecycle_count, {_bin_sql('y', 'p')} FROM rows12 GROUP BY ALL
   UNION ALL SELECT 'operating_regime', operating_regime, count(DISTINCT machine_id || lifecycle_id), {_bin_sql('y', 'p')} FROM rows12 GROUP BY ALL)""",
     *FULL, ATTRS, f"rows12 AS (SELECT *, {_Y12} AS y, {_P12} AS p FROM nx JOIN attrs USING (machine_id, lifecycle_id))"))
@@ -353,7 +357,8 @@ rnk AS (SELECT *, {ok} AS ok, row_number() OVER (PARTITION BY target ORDER BY CA
 
 
 @query("alert_threshold", "E14", q.with_readings(f"""
-SELECT target, {q.r6('min(s) FILTER (k = 1)')} AS selected_threshold, bool_or(ok) AS eligible, CASE WHEN bool_or(ok) THEN NULL WHEN bool_or(fn <= 0.1 AND efn <= 0.1)
+SELECT target, {q.r6('CASE WHEN min(least(P, N)) = 0 THEN 0.5::DOUBLE ELSE min(s) FILTER (k = 1) END')} AS selected_threshold, bool_or(ok) AND min(least(P, N)) > 0 AS eligible,
+  CASE WHEN min(least(P, N)) = 0 THEN 'single_class_in_split' WHEN bool_or(ok) THEN NULL WHEN bool_or(fn <= 0.1 AND efn <= 0.1)
   THEN 'no_threshold_satisfies_joint_fn_fp_constraints' ELSE 'fn_ceiling_not_met' END AS reason, {q.r6('min(fn) FILTER (k = 1)')} AS fn_rate,
   {q.r6('min(fp) FILTER (k = 1)')} AS fp_rate, {q.r6('min(efn) FILTER (k = 1)')} AS event_fn_rate, count(*) AS candidate_count FROM rnk GROUP BY target""",
     *FULL, TARGET_ROWS, _score_sql(0.15)))

@@ -219,10 +219,12 @@ def split_representation(spark, sf):
 
 
 @query("calibration_split", "D16", q.with_readings("""
-, lv AS (SELECT machine_id, lifecycle_id, bool_or(y) AS pos FROM lbl GROUP BY ALL), rk2 AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY machine_id, lifecycle_id) % 2 = 1 AS cal FROM lv)
-SELECT machine_id, lifecycle_id, cal AS calibration, count(*) AS rows FROM lbl JOIN rk2 USING (machine_id, lifecycle_id) GROUP BY ALL""", *BASE, LABELLED))
+, lv AS (SELECT machine_id, lifecycle_id, bool_or(y) AS pos FROM lbl GROUP BY ALL), rk2 AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY machine_id, lifecycle_id) % 2 = 1 AS cal FROM lv),
+mk AS (SELECT lbl.machine_id, lbl.lifecycle_id, cal, y FROM lbl JOIN rk2 USING (machine_id, lifecycle_id)),
+two AS (SELECT (SELECT count(*) FROM lv) >= 8 AND coalesce(bool_or(cal AND y) AND bool_or(cal AND NOT y) AND bool_or(NOT cal AND y) AND bool_or(NOT cal AND NOT y), false) AS ok FROM mk)
+SELECT machine_id, lifecycle_id, cal AND ok AS calibration, count(*) AS rows FROM mk, two GROUP BY ALL""", *BASE, LABELLED))
 def calibration_split(spark, sf):
-    return tr.calibration_split(labelled(spark, sf), 6).groupBy(*LIFE, "calibration").agg(F.count("*").alias("rows"))
+    return tr.calibration_split(labelled(spark, sf)).groupBy(*LIFE, "calibration").agg(F.count("*").alias("rows"))
 
 
 @query("target_eligibility", "D20", """

@@ -171,7 +171,9 @@ def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params =
             us, values, cell = good[i]
             rule, sensors, first = "NONE", [], us
             if marks is not None:
-                rule, sensors, first = anomaly.ladder_next(state.setdefault("ladder", {}), marks[i - begin], params.anomaly)
+                ladder = state.setdefault("ladder", {})
+                row = anomaly.carried_runs(ladder, marks[i - begin], params.anomaly)
+                rule, sensors, first = anomaly.ladder_next(ladder, row, params.anomaly)
                 tail.append([us, values])
             keep = anomaly.FINDINGS[rule][5] not in _HELD
             r = steps.online_next(state, us, values, params, keep)
