@@ -17,15 +17,15 @@ def normalize_label(df: DataFrame, column: str = "health_status") -> DataFrame:
 
 
 def range_check(df: DataFrame) -> DataFrame:
-    """First sensor (in configured order) that is not finite or out of its range."""
+    """First sensor (in configured order) without a finite value or out of its range."""
     return df.withColumn("range_reason", range_reason())
 
 
 def range_reason() -> Column:
-    tests = [F.when(~rules.finite(s.key), F.lit(f"{s.key} is not finite")).when(
+    tests = [F.when(~rules.finite(s.key), F.lit(f"{s.key} has no finite value")).when(
         ~F.col(s.key).between(s.low, s.high),
         F.concat(F.lit(f"{s.label} "), F.col(s.key).cast("string"), F.lit(
-            f" {s.unit} is outside the configured valid range [{s.low}, {s.high}]")))
+            f" {s.unit} lies outside [{s.low}, {s.high}]")))
         for s in SENSORS]
     return F.coalesce(*tests)
 
@@ -70,14 +70,14 @@ def status_reasons(df: DataFrame, effective: str | None = None) -> DataFrame:
         code = rules.status(s.key, s)
         limit = F.when(code == 2, s.critical).otherwise(s.warning)
         notes.append(F.when(code > 0, F.format_string(
-            f"{s.label} is %s: %.3f {s.unit} exceeds %.3f {s.unit}.",
+            f"{s.label} %s: %.3f {s.unit}, limit %.3f {s.unit}",
             rules.status_name(code), F.col(s.key), limit)))
     found = F.array_compact(F.array(*notes))
     text = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(
-        "All raw sensor readings are within configured manufacturer limits.")))
+        "Every sensor is below its warning limit.")))
     if effective:
         text = F.concat(text, F.when(F.col(effective) != rules.machine_status(), F.array(
-            F.format_string("Operational status is stabilized at %s; the immediate raw status is %s.",
+            F.format_string("Shown as %s after smoothing over time; this reading alone is %s.",
                             rules.status_name(effective), rules.status_name(rules.machine_status()))))
             .otherwise(F.array().cast("array<string>")))
     return df.withColumn("reasons", text)
@@ -99,4 +99,4 @@ def domain_stage(domain: Column) -> Column:
 def promotion_refusal(domain: Column, stage: Column) -> Column:
     """Why a model of this domain may not enter the stage, or null."""
     return F.when((stage == "plant_production") & (domain != "plant"), F.concat(
-        F.lit("Cannot promote "), domain, F.lit(" model to plant_production.")))
+        F.lit("trained on "), domain, F.lit(": not for plant_production")))

@@ -272,21 +272,21 @@ def validate(df: DataFrame, params: Params = DEFAULT, keys: Sequence[str] = MACH
     value = F.element_at(F.array(*[F.col(k) for k in SENSOR_KEYS]), which + 1)
     out_of_range = F.element_at(F.array(*[F.concat(
         F.lit(f"{s.label} "), value.cast("string"), F.lit(
-            f" {s.unit} is outside the configured valid range [{s.low}, {s.high}]"))
+            f" {s.unit} lies outside [{s.low}, {s.high}]"))
         for s in SENSORS]), which + 1)
     limit = F.element_at(F.array(*[F.lit(f"{j:.3f}") for j in jumps]), which + 1)
     kind = F.get(part, F.lit(0))
     reason = (F.when(kind == "", "")
               .when(kind == "label", F.concat(
-                  F.lit("unknown health_status value: '"), F.col("label"), F.lit("'")))
+                  F.lit("label not known: '"), F.col("label"), F.lit("'")))
               .when((kind == "time") & (F.col("_first_seq") < F.col("ingest_seq")),
                     "duplicate timestamp")
-              .when(kind == "time", "timestamp is earlier than the last accepted timestamp")
-              .when(kind == "finite", F.concat(key, F.lit(" is not finite")))
+              .when(kind == "time", "time earlier than an accepted row")
+              .when(kind == "finite", F.concat(key, F.lit(" has no finite value")))
               .when(kind == "range", out_of_range)
               .otherwise(F.concat(
-                  F.lit("possible sensor fault: "), key, F.lit(" changed by "), F.get(part, F.lit(2)),
-                  F.lit(", above the configured jump limit "), limit)))
+                  F.lit(""), key, F.lit(" changed by "), F.get(part, F.lit(2)),
+                  F.lit(", over the jump limit "), limit)))
     verdicts = judged.select(*keys, "ingest_seq", (F.col("verdict") == "").alias("valid"),
                              reason.alias("reason"))
     return df.join(verdicts, [*keys, "ingest_seq"])

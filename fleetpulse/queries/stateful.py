@@ -66,9 +66,9 @@ def validated(spark, sf):
 
 def reason_kind(reason="reason"):
     r = F.col(reason)
-    return (F.when(r == "", "").when(r.startswith("unknown"), "label")
+    return (F.when(r == "", "").when(r.startswith("label not known"), "label")
             .when(r.startswith("duplicate"), "duplicate").when(r.contains("earlier"), "order")
-            .when(r.contains("not finite"), "finite").when(r.contains("outside"), "range")
+            .when(r.contains("no finite"), "finite").when(r.contains("outside"), "range")
             .otherwise("jump"))
 
 

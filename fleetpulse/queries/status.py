@@ -49,9 +49,9 @@ def edited(spark, sf):
 
 @query("range_check", "P2", q.with_readings(
     f"SELECT {KEY}, coalesce(" + q.each(lambda s: (
-        f"CASE WHEN {s.key} IS NULL OR isnan({s.key}) OR isinf({s.key}) THEN '{s.key} is not finite' "
+        f"CASE WHEN {s.key} IS NULL OR isnan({s.key}) OR isinf({s.key}) THEN '{s.key} has no finite value' "
         f"WHEN {s.key} NOT BETWEEN {s.low} AND {s.high} THEN "
-        f"'{s.label} ' || {s.key} || ' {s.unit} is outside the configured valid range [{s.low}, {s.high}]' END")) +
+        f"'{s.label} ' || {s.key} || ' {s.unit} lies outside [{s.low}, {s.high}]' END")) +
     ") AS range_reason FROM ed", _EDITED_SQL))
 def range_check(spark, sf):
     return ops.range_check(edited(spark, sf)).select(*ID, "range_reason")
@@ -114,16 +114,16 @@ def severity_summary(spark, sf):
 
 # The JVM formatter rounds decimal ties up; printf looks at the binary value, hence + 1e-9.
 _REASON_SQL = "list_filter([" + q.each(lambda s: (
-    f"CASE WHEN {q.status(s.key, s)} > 0 THEN printf('{s.label} is %s: %.3f {s.unit} exceeds %.3f {s.unit}.', "
+    f"CASE WHEN {q.status(s.key, s)} > 0 THEN printf('{s.label} %s: %.3f {s.unit}, limit %.3f {s.unit}', "
     f"{q.name(q.status(s.key, s))}, {s.key} + 1e-9::DOUBLE, CASE WHEN {q.status(s.key, s)} = 2 THEN {q.d(s.critical)} "
     f"ELSE {q.d(s.warning)} END) END")) + "], lambda x: x IS NOT NULL)"
 
 
 @query("status_reasons", "P13", q.with_readings(
     f"SELECT {KEY}, CASE WHEN len(r) > 0 THEN array_to_string(r, ' | ') ELSE "
-    "'All raw sensor readings are within configured manufacturer limits.' END || "
-    "CASE WHEN stabilized_status <> raw_status THEN ' | Operational status is stabilized at ' || "
-    f"{q.name('stabilized_status')} || '; the immediate raw status is ' || {q.name('raw_status')} || '.' ELSE '' END "
+    "'Every sensor is below its warning limit.' END || "
+    "CASE WHEN stabilized_status <> raw_status THEN ' | Shown as ' || "
+    f"{q.name('stabilized_status')} || ' after smoothing over time; this reading alone is ' || {q.name('raw_status')} || '.' ELSE '' END "
     f"AS reasons FROM (SELECT *, {_REASON_SQL} AS r FROM stab)", q.RAW, q.STABILIZED))
 def status_reasons(spark, sf):
     df = persistence.stabilized_status(add_slice(raw(spark, sf)))
@@ -133,8 +133,8 @@ def status_reasons(spark, sf):
 
 @query("domain_stage", "P14", """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'mock_test' WHEN 'F' THEN 'realistic_candidate'
-  WHEN 'P' THEN 'plant_candidate' END AS stage, CASE o_orderstatus WHEN 'O' THEN 'Cannot promote accelerated_mock model to plant_production.'
-  WHEN 'F' THEN 'Cannot promote realistic_synthetic model to plant_production.' END AS refusal FROM orders""")
+  WHEN 'P' THEN 'plant_candidate' END AS stage, CASE o_orderstatus WHEN 'O' THEN 'trained on accelerated_mock: not for plant_production'
+  WHEN 'F' THEN 'trained on realistic_synthetic: not for plant_production' END AS refusal FROM orders""")
 def domain_stage(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus")
     domain = (F.when(F.col("o_orderstatus") == "O", "accelerated_mock")

@@ -52,20 +52,20 @@ def _limits(params: Params) -> list[float]:
 def _verdict(state: dict, us: int, label: str | None, values, jumps) -> str:
     """Why a row is refused, or an empty text; accepted rows move the state."""
     if label is not None and label not in ("", "normal", "warning", "critical"):
-        return f"unknown health_status value: {label!r}"
+        return f"label not known: {label!r}"
     last = state.get("accepted")
     if last is not None and us == last[0]:
         return "duplicate timestamp"
     if last is not None and us < last[0]:
-        return "timestamp is earlier than the last accepted timestamp"
+        return "time earlier than an accepted row"
     for i, (k, v) in enumerate(zip(SENSOR_KEYS, values)):
         s = BY_KEY[k]
         if v is None or not np.isfinite(v):
-            return f"{k} is not finite"
+            return f"{k} has no finite value"
         if not s.low <= v <= s.high:
-            return f"{s.label} {v} {s.unit} is outside the configured valid range [{s.low}, {s.high}]"
+            return f"{s.label} {v} {s.unit} lies outside [{s.low}, {s.high}]"
         if last is not None and abs(v - last[1][i]) > jumps[i]:
-            return f"possible sensor fault: {k} changed by {abs(v - last[1][i]):.3f}, above the configured jump limit {jumps[i]:.3f}"
+            return f"{k} changed by {abs(v - last[1][i]):.3f}, over the jump limit {jumps[i]:.3f}"
     state["accepted"] = [us, list(values)]
     return ""
 
