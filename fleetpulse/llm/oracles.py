@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fleetpulse.llm.licenses import TEMPLATES
 from fleetpulse.llm.quality import BASE_RULES, RULES, STOP_WORDS, WINDOW
+from fleetpulse.llm.repeats import LEAST
 
 QUOTED_STOP_WORDS = ", ".join(f"'{w}'" for s in STOP_WORDS for w in dict.fromkeys((s, s.capitalize())))
 
@@ -83,3 +84,39 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_base,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM d LEFT JOIN labels ON labels.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id
 """
+
+
+_WORDS = r"""d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)"""
+
+OP4 = rf"""
+WITH RECURSIVE {_WORDS},
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN
+        list_transform(range(0, len(words) - 4), lambda i: array_to_string(list_slice(words, i + 1, i + 5), ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+           GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, b.y FROM reach r JOIN pairs b ON r.other = b.x),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON least.doc_id = d.doc_id
+"""
+
+OP9 = rf"""
+WITH {_WORDS},
+w AS (SELECT doc_id, words, unnest(range(0, len(words) - {LEAST - 1})) AS s FROM d),
+h AS (SELECT doc_id, s, md5(array_to_string(list_slice(words, s + 1, s + {LEAST}), ' ')) AS window_hash FROM w),
+g AS (SELECT window_hash, min({{'a': doc_id, 'b': s}}) AS first_at FROM h GROUP BY window_hash HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, s, first_at <> {{'a': doc_id, 'b': s}} AS again FROM h JOIN g ON g.window_hash = h.window_hash),
+i AS (SELECT *, sum(CASE WHEN s <= before + {LEAST} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS span
+      FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM r)),
+spans AS (SELECT doc_id, span, min(s) AS start_word, max(s) + {LEAST} AS end_word FROM i GROUP BY doc_id, span),
+covered AS (SELECT doc_id, span, count(DISTINCT word) AS n FROM
+            (SELECT doc_id, span, unnest(range(s, s + {LEAST})) AS word FROM i WHERE again) GROUP BY doc_id, span)
+SELECT p.doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word,
+       CAST(coalesce(n, 0) AS BIGINT) AS cut_words
+FROM spans p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.span = p.span
+"""

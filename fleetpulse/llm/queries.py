@@ -101,5 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_licenses": oracles.OP1,
+    "op4_near_duplicates": oracles.OP4,
     "op8_quality": oracles.OP8,
+    "op9_suffix_dedup": oracles.OP9,
 }
