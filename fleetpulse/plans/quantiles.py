@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task. Here a sketch
 first gives equal-depth cut points, distinct values are counted and ranked inside
 the cuts, and the quantile is read off the running counts: same numbers, but a
-group of any size is spread over 64 ranges.
+group of any size is spread over as many ranges as there are shuffle partitions
+(64 at least).
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, probs: Sequence
     v = base.select(*group, value.cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = v.groupBy(*group, "_v").agg(F.count("*").alias("_cnt"))
-    marks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = v.groupBy(*group).agg(F.percentile_approx("_v", marks, F.lit(1000)).alias("_cuts"),
+    n = max(CUTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = v.groupBy(*group).agg(F.percentile_approx("_v", marks, F.lit(10 * n)).alias("_cuts"),
                                  F.count("*").alias("_total"))
     counts = counts.join(cuts, group).withColumn(
         "slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).cast("long")).drop("_cuts")

@@ -205,7 +205,7 @@ def lifecycle_table(spark, sf):
 
 @query("lifecycle_split", "D14")
 def lifecycle_split(spark, sf):
-    return tr.split_lifecycles(lifecycle_table(spark, sf), 32, bounds=BOUNDS).select(*LIFE, "split", "critical_reached", "operating_regime")
+    return tr.split_lifecycles(lifecycle_table(spark, sf), bounds=BOUNDS).select(*LIFE, "split", "critical_reached", "operating_regime")
 
 
 @query("split_representation", "D15", q.with_readings(f"""
@@ -271,7 +271,7 @@ def assembled(spark, sf):
 @query("held_out_scores", "D17 M2")
 def held_out_scores(spark, sf):
     rows = tr.group_folds(assembled(spark, sf), 3)
-    out = ml.oof_scores(rows, ml.horizon_candidates(10)["forest"], 3)
+    out = ml.oof_scores(rows, ml.horizon_candidates()["forest"], 3)
     return out.select(*ID, "fold", "label", r6("oof").alias("oof"))
 
 
@@ -279,16 +279,17 @@ def held_out_scores(spark, sf):
 def eta_model(spark, sf):
     rows = assembled(spark, sf).filter(F.col("event_us").isNotNull()).withColumn("target_hours", F.col("lead_hours"))
     train, test = rows.filter("machine_id <> 'm2'"), rows.filter("machine_id = 'm2'")
-    model = ml.fit_eta(train, trees=10)
+    model = ml.fit_eta(train)
     return ml.score({"time_to_critical": model}, test).select(*ID, r6("target_hours").alias("actual_hours"), r6("ml_time_to_critical_hours").alias("predicted_hours"))
 
 
 @query("horizon_models", "M2 M3 M4 M5")
 def horizon_models(spark, sf):
-    """Candidates fitted on two machines, calibrated on a third, compared on the fourth's lifecycles."""
+    """Candidates fitted on every other machine; the others' odd lifecycles calibrate, their even ones compare."""
     rows = assembled(spark, sf)
-    fitted = ml.fit_horizon_candidates(rows.filter("machine_id IN ('m0', 'm2')"), 10)
-    hold = rows.filter("machine_id = 'm1'")
+    even = F.substring("machine_id", 2, 9).cast("int") % 2 == 0
+    fitted = ml.fit_horizon_candidates(rows.filter(even))
+    hold = rows.filter(~even)
     odd = F.substring("lifecycle_id", -4, 4).cast("int") % 2 == 1
     out = None
     for name, model in fitted.items():

@@ -197,12 +197,11 @@ _stat_query("window_slope", "W4", {"slope_per_hour": 4})
 _stat_query("window_change", "W6", {"change": 6})
 _stat_query("status_fractions", "W7", {"warning_fraction": 6, "critical_fraction": 6})
 _stat_query("threshold_crossings", "W8", {"threshold_crossings": 6})
-_stat_query("window_gaps", "W9", {"sampling_gap_mean_seconds": 6, "sampling_gap_max_seconds": 6},
-            sensors=SENSOR_KEYS[:1])
-_stat_query("missing_fraction", "W10", {"recent_missing_fraction": 6}, sensors=SENSOR_KEYS[:1])
+_stat_query("window_gaps", "W9", {"sampling_gap_mean_seconds": 6, "sampling_gap_max_seconds": 6})
+_stat_query("missing_fraction", "W10", {"recent_missing_fraction": 6})
 _stat_query("window_maturity", "W11", {
     "available_history_duration_seconds": 6, "coverage_fraction": 6, "gap_or_discontinuity": 6,
-    "window_mature": 6, "feature_available": 6}, sensors=SENSOR_KEYS[:1])
+    "window_mature": 6, "feature_available": 6})
 
 
 @query("slope_acceleration", "W5", q.with_readings(
