@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import logging
-import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.plans.shared import cut, shared_dir
+from fleetpulse.plans.shared import cut, folder_for_cut
 from fleetpulse.plans.slices import ORDER, spread
 
 Step = Callable[[pd.DataFrame, dict], pd.DataFrame]
@@ -81,7 +80,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
         return call
 
     source = cut(df.select(*dict.fromkeys([*group, *df.columns])))
-    folder = f"{shared_dir(spark)}/fleetpulse/{uuid.uuid4().hex}"
+    folder = folder_for_cut(spark)
     paths: list[str] = []
 
     def execute(rows: DataFrame, entries: DataFrame) -> DataFrame:

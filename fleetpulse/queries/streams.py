@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.rules import r6
 from fleetpulse.params import DAY_US, DEFAULT, SENSOR_KEYS
-from fleetpulse.plans.shared import shared_dir, table
+from fleetpulse.plans.shared import folder_for_cut, table, table_path
 from fleetpulse.plans.slices import slice_of
 from fleetpulse.queries import query, sqlparts as q
 from fleetpulse.sources.binding import readings
@@ -24,7 +23,7 @@ FILES = 4
 
 def staged(spark, rows: DataFrame) -> str:
     """Readings as files in time order: a fixed number of files per two days."""
-    folder = f"{shared_dir(spark)}/fleetpulse/stream-{uuid.uuid4().hex}"
+    folder = folder_for_cut(spark)
     rows = rows.select("machine_id", "ingest_seq", "us", *K, "health_status").withColumn("_chunk", slice_of("us", CHUNK_US))
     span = rows.agg(F.min("_chunk"), F.max("_chunk")).first()
     for c in range(span[0], span[1] + 1):
@@ -36,7 +35,7 @@ def staged(spark, rows: DataFrame) -> str:
 def drain(sdf: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over the available input into Parquet and read it back."""
     spark = sdf.sparkSession
-    base = f"{shared_dir(spark)}/fleetpulse/sink-{uuid.uuid4().hex}"
+    base = folder_for_cut(spark)
     run = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
            .option("path", f"{base}/rows").trigger(availableNow=True).start())
     run.awaitTermination()
@@ -73,8 +72,7 @@ def stream_alerts(spark, sf):
 
 
 def _folder(spark, name):
-    from fleetpulse.plans.shared import _tables
-    return _tables[(spark.sparkContext.applicationId, name)]
+    return table_path(spark, name)
 
 
 @query("stream_gap_timeout", "R7")
@@ -84,7 +82,7 @@ def stream_gap_timeout(spark, sf):
 
 @query("stream_sensor_state", "R8")
 def stream_sensor_state(spark, sf):
-    path = f"{shared_dir(spark)}/fleetpulse/upsert-{uuid.uuid4().hex}"
+    path = folder_for_cut(spark)
     rows = spark.readStream.schema(streamed(spark, sf).schema).parquet(_folder(spark, f"streamed:{sf}"))
     run = (st.sensor_states(rows).writeStream.foreachBatch(st.upsert_state(path))
            .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start())
@@ -129,6 +127,8 @@ def rollup_sessions(spark, sf):
     return _rounded(st.rollup(timed(spark, sf), gap="10 minutes"))
 
 
-@query("stream_rollup", "R6 R1")
+# Append mode returns the hours that the watermark has passed: ten minutes behind the newest reading.
+@query("stream_rollup", "R6 R1", q.with_readings(f"""SELECT * FROM (SELECT machine_id, us // 3600000000 * 3600000000 AS start_us, us // 3600000000 * 3600000000 + 3600000000 AS end_us, count(*) AS rows, {_cells()}
+  FROM readings GROUP BY ALL) WHERE end_us <= (SELECT max(us) - 600000000 FROM readings)"""))
 def stream_rollup(spark, sf):
     return _rounded(drain(st.rollup(source(spark, readings(spark, sf)), delay="10 minutes")))
