@@ -40,7 +40,7 @@ def text_rows(spark, sf):
 SELECT machine_id, ingest_seq, us, CASE WHEN tk <> 'ok' THEN 'time' WHEN vk <> 'ok' THEN 'number' ELSE '' END AS problem, nullif(label, '') AS label FROM txt""", TEXT))
 def tolerant_scan(spark, sf):
     rows = src.parse_rows(text_rows(spark, sf))
-    problem = F.when(F.col("parse_reason").contains("timestamp"), "time").when(F.col("parse_reason").isNotNull(), "number").otherwise("")
+    problem = F.when(F.col("parse_reason").contains("time not"), "time").when(F.col("parse_reason").isNotNull(), "number").otherwise("")
     return rows.select("machine_id", "ingest_seq", "us", problem.alias("problem"), "label")
 
 
@@ -52,11 +52,14 @@ def strict_scan(spark, sf):
     return src.strict(src.parse_rows(clean)).groupBy("machine_id").agg(F.count("*").alias("rows"), F.max("us").alias("last_us"))
 
 
-@query("column_contract", "S3", "SELECT * FROM (VALUES ('missing_required_columns', 1::BIGINT), ('column_contract_mismatch', 1)) v(code, count)")
+@query("column_contract", "S3", q.with_readings("""
+SELECT code, count, rows_refused FROM (VALUES ('missing_required_columns', 1::BIGINT), ('column_contract_mismatch', 1)) v(code, count),
+  (SELECT count(*) AS rows_refused FROM readings)"""))
 def column_contract(spark, sf):
-    return src.check_contract(text_rows(spark, sf).withColumnRenamed("health_status", "state")).select("code", "count")
-
-
+    """What is wrong with a table whose label column has another name, and how many rows that refuses."""
+    rows = text_rows(spark, sf).withColumnRenamed("health_status", "state")
+    total = rows.agg(F.count("*").alias("rows_refused"))
+    return src.check_contract(rows).select("code", "count").crossJoin(total)  # one row
 
 
 @query("lifecycle_metadata", "S4", q.with_readings("SELECT machine_id, lifecycle_id, start_us, end_us, reset_us FROM plan WHERE machine_id <> 'm0'", q.RAW, PLANNED, PLAN_SQL))

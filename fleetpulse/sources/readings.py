@@ -26,11 +26,11 @@ def contract_violations(columns: Sequence[str], extra_ok: Sequence[str] = ("mach
     missing = sorted(set(COLUMNS) - set(given))
     out = []
     if missing:
-        out.append(("missing_required_columns", f"Required columns are missing: {missing}", len(missing)))
+        out.append(("missing_required_columns", f"absent: {missing}", len(missing)))
     if given != list(COLUMNS):
         extra = sorted(set(given) - set(COLUMNS))
         out.append(("column_contract_mismatch",
-                    f"Columns do not match the contract exactly; extra={extra}", max(1, len(extra))))
+                    f"other columns or another order; not in the contract: {extra}", max(1, len(extra))))
     return out
 
 
@@ -45,13 +45,13 @@ def parse_rows(raw: DataFrame) -> DataFrame:
     raw = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in raw.columns])
     missing = [c for c in COLUMNS if c not in raw.columns]
     if missing:
-        raise ValueError(f"input is missing required columns: {sorted(missing)}")
+        raise ValueError(f"absent columns: {sorted(missing)}")
     ts = F.try_to_timestamp(F.trim("timestamp"))
     numbers = {k: F.expr(f"try_cast(trim({k}) AS double)") for k in SENSOR_KEYS}
-    bad = F.when(ts.isNull(), F.concat(F.lit("invalid CSV row: Unsupported timestamp format: '"),
+    bad = F.when(ts.isNull(), F.concat(F.lit("unreadable row: time not understood: '"),
                                        F.coalesce(F.trim("timestamp"), F.lit("")), F.lit("'")))
     for k in SENSOR_KEYS:
-        bad = bad.when(numbers[k].isNull(), F.lit(f"invalid CSV row: {k} is not a number"))
+        bad = bad.when(numbers[k].isNull(), F.lit(f"unreadable row: {k} is not a number"))
     label = F.nullif(F.lower(F.trim("health_status")), F.lit(""))
     out = raw.withColumns({
         "parse_reason": bad, "us": F.unix_micros(ts), "label": label,
