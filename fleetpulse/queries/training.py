@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.rules import r6
 from fleetpulse.operators import models as ml, training as tr
 from fleetpulse.params import PROBABILITY_TARGETS, SENSOR_KEYS
+from fleetpulse.operators.anomaly import FINDINGS
 from fleetpulse.operators.features import feature_names
 from fleetpulse.plans.shared import cut, table
 from fleetpulse.plans.slices import add_slice
 from fleetpulse.queries import query, sqlparts as q
-from fleetpulse.queries.anomalies import found
+from fleetpulse.queries.anomalies import CONSTANCY, EVIDENCE, FAULTY, LADDER, found
 from fleetpulse.queries.evaluation import ATTRS, BOUNDS, _BUCKET, attrs
 from fleetpulse.queries.stateful import SMOOTH, smooth
 from fleetpulse.queries.windows import _NEIGHBOURS, _WINDOWS, PLANNED, planned, stat_sql, wide
@@ -66,7 +67,17 @@ def eligible_examples(spark, sf):
     return tr.eligible_examples(rows, 40).groupBy(*LIFE).agg(F.count("*").alias("rows"))
 
 
-@query("screening_report", "D5")
+_RULES = ", ".join(f"('{name}', {row[8]}, '{row[9]}', {row[10]})" for name, row in FINDINGS.items())
+
+
+@query("screening_report", "D5", q.with_readings(f"""
+, rl(rule, ok, why, review) AS (VALUES {_RULES}),
+jr AS (SELECT rl.* FROM ld1 l JOIN rl ON rl.rule = l.rule)
+SELECT measure, reason, count(*) AS rows FROM (
+  SELECT 'valid_rows' AS measure, '' AS reason FROM jr UNION ALL SELECT 'eligible_rows', '' FROM jr WHERE ok
+  UNION ALL SELECT 'excluded_rows', CASE WHEN why = '' THEN 'anomaly_policy_exclusion' ELSE why END FROM jr WHERE NOT ok
+  UNION ALL SELECT 'human_review_rows', '' FROM jr WHERE review) GROUP BY ALL""",
+    q.RAW, PLANNED, FAULTY, CONSTANCY, EVIDENCE, LADDER))
 def screening_report(spark, sf):
     return tr.screening_report(found(spark, sf))
 
