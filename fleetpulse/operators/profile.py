@@ -17,39 +17,40 @@ PROBS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 NAMES = ("minimum", "p01", "p05", "p25", "median", "p75", "p95", "p99", "maximum")
 
 
+def unpivoted(df: DataFrame, values: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """One row per row and value: (groups, variable, value)."""
+    cells = [F.struct(F.lit(name).alias("variable"), v.cast("double").alias("value")) for name, v in values.items()]
+    return df.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.variable", "_c.value")
+
+
 def percentiles(df: DataFrame, values: dict[str, Column], by: Sequence[str] = KEYS,
                 exact: bool = True) -> DataFrame:
-    """Nine percentiles per value, one row per group and value.
+    """Nine percentiles per value, one row per group and value, in one pass over the input.
 
-    ``exact=False`` takes them from one sketch pass.
+    ``exact=False`` takes them from one sketch per group and value.
     """
-    out = None
-    for name, value in values.items():
-        if exact:
-            one = quantiles(df, by, value, PROBS, "q")
-        else:
-            one = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*map(F.lit, PROBS)), F.lit(10000)).alias("q"))
-        one = one.select(*by, F.lit(name).alias("variable"), *[F.col("q")[i].alias(n) for i, n in enumerate(NAMES)])
-        out = one if out is None else out.unionByName(one)
-    return out
+    long, keys = unpivoted(df, values, by), [*by, "variable"]
+    if exact:
+        out = quantiles(long, keys, F.col("value"), PROBS, "q")
+    else:
+        out = long.groupBy(*keys).agg(F.percentile_approx("value", F.array(*map(F.lit, PROBS)), F.lit(10000)).alias("q"))
+    return out.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(NAMES)])
 
 
 def sensor_statistics(df: DataFrame, cols: Sequence[str] = SENSOR_KEYS, by: Sequence[str] = KEYS) -> DataFrame:
     """Percentiles, mean, deviation and measurement noise from the spread of adjacent differences."""
-    steps = scan(df, by, lag={f"_was_{c}": c for c in cols})
+    keys = [*by, "variable"]
     table = percentiles(df, {c: F.col(c) for c in cols}, by)
-    extra = None
-    for c in cols:
-        d = F.col(c) - F.col(f"_was_{c}")
-        center = quantiles(steps, by, d, [0.5], "_m").select(*by, F.col("_m")[0].alias("_mid"))
-        away = steps.join(center, list(by))
-        spread = quantiles(away, by, F.abs(d - F.col("_mid")), [0.5], "_s")
-        base = df.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("standard_deviation"))
-        one = join_by(base, spread, by).select(
-            *by, F.lit(c).alias("variable"), "mean", "standard_deviation",
-            (F.col("_s")[0] * 1.4826 / 2 ** 0.5).alias("measurement_noise_estimate"))
-        extra = one if extra is None else extra.unionByName(one)
-    return table.drop("p25", "p75").join(extra, [*by, "variable"])
+    base = unpivoted(df, {c: F.col(c) for c in cols}, by).groupBy(*keys).agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("standard_deviation"))
+    steps = scan(df, by, lag={f"_was_{c}": c for c in cols})
+    moves = unpivoted(steps, {c: F.col(c) - F.col(f"_was_{c}") for c in cols}, by)
+    center = quantiles(moves, keys, F.col("value"), [0.5], "_m").select(*keys, F.col("_m")[0].alias("_mid"))
+    away = moves.join(center, keys)
+    spread = quantiles(away, keys, F.abs(F.col("value") - F.col("_mid")), [0.5], "_s")
+    extra = join_by(base, spread, keys).select(
+        *keys, "mean", "standard_deviation", (F.col("_s")[0] * 1.4826 / 2 ** 0.5).alias("measurement_noise_estimate"))
+    return table.drop("p25", "p75").join(extra, keys)
 
 
 def intervals(df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ("ingest_seq",)) -> DataFrame:
