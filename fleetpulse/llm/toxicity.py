@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.rows import with_results
+from fleetpulse.llm.rows import slices, with_results
 from fleetpulse.plans.shared import cut
 
 THRESHOLD = 0.3
@@ -259,16 +259,17 @@ def _terms_of(word: str, settings: Settings) -> list[str]:
 
 
 def _grouped(sample: DataFrame, rows_of, schema: str) -> DataFrame:
-    """``rows_of(texts, labels)`` gives one tuple per row; run per Arrow batch."""
+    """``rows_of(texts, labels)`` gives one tuple per row; run on a slice of texts at a time."""
     names = [part.split()[0] for part in schema.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    kinds = [types[part.split()[1]] for part in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            rows = list(rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-            kinds = [types[part.split()[1]] for part in schema.split(", ")]
-            columns = list(zip(*rows)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low, high in slices(texts, 1 << 19):
+                columns = list(zip(*rows_of(texts[low:high], labels[low:high]))) or [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return sample.select("_text", "_label").mapInArrow(run, schema)
 
