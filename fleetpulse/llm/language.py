@@ -36,7 +36,7 @@ from fleetpulse.llm.rows import with_results
 
 UNKNOWN = "und"
 BLOCK = 64  # words per block of the forward-backward scan
-KNOWN_WORDS = 500_000  # kept per worker
+KNOWN_WORDS = 300_000  # kept per worker
 
 
 @dataclass(frozen=True)

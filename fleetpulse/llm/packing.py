@@ -37,7 +37,7 @@ from fleetpulse.plans.shared import cut
 CAPACITY = 1024
 END_ID = 2
 ROWS_PER_BLOCK = 10_000
-KNOWN_WORDS = 800_000  # kept per worker
+KNOWN_WORDS = 300_000  # kept per worker
 
 
 class ByteBpe:
