@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SLICE_CHARS = 8 << 20  # texts handed to the function at a time, though never less than one text
+SLICE_CHARS = 2 << 20  # texts handed to the function at a time, though never less than one text
 
 
 def slices(texts: list, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.rows import slices, with_results
 
-SEGMENT_CHARS = 4 << 20
+SEGMENT_CHARS = 1 << 20
 MAX_STRINGS = 256  # exact strings held while a query is derived; beyond it they become a query
 
 

@@ -416,7 +416,7 @@ def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             return [own.scores(features).tolist(), hits]
         return apply
 
-    return with_results(docs, kept, text_col, RESULTS, make, most=4 << 20)
+    return with_results(docs, kept, text_col, RESULTS, make, most=1 << 20)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -433,4 +433,4 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text",
             return [(own.scores(reader.features(texts)[0]) < threshold).tolist()]
         return apply
 
-    return with_results(docs, docs.columns, text_col, "", make, drop=True, most=4 << 20)
+    return with_results(docs, docs.columns, text_col, "", make, drop=True, most=1 << 20)
