@@ -66,6 +66,7 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
         + [T.StructField("_round", T.IntegerType()), T.StructField("_entry", T.StringType()),
            T.StructField("_exit", T.StringType())])
     run_names = [f.name for f in run_schema]
+    listed = [f.name for f in out_fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
 
     def rerun(number: int):
         def call(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -76,7 +77,10 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
             marker = pd.DataFrame([[*key, number, entry, done]],
                                   columns=[*group, "_round", "_entry", "_exit"])
             result["_round"] = number
-            return pd.concat([result, marker], ignore_index=True).reindex(columns=run_names)
+            both = pd.concat([result, marker], ignore_index=True).reindex(columns=run_names)
+            for name in listed:  # the marker's empty cell is NaN, which is no list
+                both[name] = [None if isinstance(cell, float) else cell for cell in both[name]]
+            return both
         return call
 
     source = cut(df.select(*dict.fromkeys([*group, *df.columns])))
