@@ -152,20 +152,21 @@ def _bits(k: Column) -> Column:
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, low, repeats, cuts): bit k of the masks speaks of the window from word ``low + k``."""
     found = suffixes(docs, id_col, text_col)
-    # Equal neighbours in more than one document; summed up before the shuffle.
-    matched = (found.groupBy("prefix").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high"))
-               .filter(F.col("_low") < F.col("_high")).select("prefix"))
+    # Equal neighbours in more than one document; summed up before the shuffle. Written, so that the join with
+    # them has a shuffle on either side and adaptive execution may split a prefix that very many texts share.
+    matched = cut(found.groupBy("prefix").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high"))
+                  .filter(F.col("_low") < F.col("_high")).select("prefix"))
     shared = cut(found.join(matched, "prefix", "left_semi"))
     classes = cut(shared.groupBy("prefix", "around").agg(
         F.min(F.struct("doc", "low", "size")).alias("first"), F.max("doc").alias("last")))
-    several = classes.groupBy("prefix").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("prefix")
+    several = cut(classes.groupBy("prefix").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("prefix"))
     compared = cut(classes.join(several, "prefix", "left_semi")
                    .select("prefix", "around", "first.doc", "first.low", "first.size", "last"))
     windows = cut(_windows(docs, compared, id_col, text_col).distinct()
                   .join(compared, ["prefix", "around"])
                   .select("prefix", "around", "k", "window", F.struct("doc", (F.col("low") + F.col("k")).alias("at")).alias("own"),
                           "last"))
-    by_window = windows.groupBy("window").agg(F.min("own").alias("_first"), F.max("last").alias("_last"))
+    by_window = cut(windows.groupBy("window").agg(F.min("own").alias("_first"), F.max("last").alias("_last")))
     judged = (windows.join(by_window, "window").groupBy("prefix", "around").agg(
         F.bit_or(F.when(F.col("_first.doc") < F.col("_last"), _bits(F.col("k"))).otherwise(F.lit(0).cast("long"))).alias("_repeats"),
         F.bit_or(F.when(F.col("_first") == F.col("own"), _bits(F.col("k"))).otherwise(F.lit(0).cast("long"))).alias("_kept")))
