@@ -3,12 +3,12 @@
 1. Each text's distinct 5-word shingles are hashed to 64 bits. Texts with equal
    sets form one class (a 128-bit fingerprint and the size); classes, not texts,
    are compared, so exact copies cost one row.
-2. The forest: ``TREES`` orders of the class signatures. Classes that share the
-   first ``SHALLOW`` values of an order form a region. A region above
-   ``REGION_ROWS`` is cut one value deeper, and so on, each region as deep as it
-   needs; those still too large at full depth are split, with one member in
-   common. Within a region, neighbours whose signatures agree enough are joined
-   by a spanning forest, not by all pairs.
+2. The trees: ``TREES`` disjoint runs of ``SHALLOW`` signature values. Classes that
+   share a run form a region. Within a region, neighbours whose signatures agree
+   enough are joined by a spanning forest, not by all pairs. A region above
+   ``REGION_ROWS`` is dealt to blocks, by another hash in each tree; then its members
+   outside the region's largest cluster are compared with all of its blocks, a bounded
+   number at a time, so that a pair meets at any size of a region.
 3. Components of these candidate edges are clusters. Their full sets are brought
    together once and compared exactly, breadth first: everything within 0.75 of
    a member joins it and is not compared again. Clusters too large for one task
@@ -38,7 +38,7 @@ from fleetpulse.plans.shared import cut
 
 WORDS = 5
 TREES = 16
-SHALLOW, DEEP = 3, 8  # values of an order that a region shares
+SHALLOW = 3  # values that a region shares
 SIGNATURE = 64
 AGREE = 36  # of SIGNATURE bytes: 3.5 standard deviations below what 0.75 gives
 REGION_ROWS = 2_000
@@ -50,10 +50,6 @@ _POWERS = _rng.integers(1, 1 << 62, 1, dtype=np.uint64)[0] * np.uint64(2) + np.u
 _PLACES = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCALE = _rng.integers(1, 1 << 62, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(1, 1 << 62, SIGNATURE, dtype=np.uint64)
-# Each tree reads the signature in its own order; the first values of the trees don't overlap.
-ORDERS = [[*range(SHALLOW * t, SHALLOW * (t + 1)),
-           *_rng.permutation([i for i in range(SIGNATURE) if i // SHALLOW != t])[:DEEP - SHALLOW].tolist()]
-          for t in range(TREES)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -136,54 +132,39 @@ def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         lambda: apply, most=1 << 20)
 
 
-def _paths(classes: DataFrame) -> DataFrame:
-    """(node, tree, path): the region of a class in each tree at each depth."""
+def _keyed(classes: DataFrame) -> DataFrame:
+    """(node, tree, region): the region of a class in each tree."""
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, SIGNATURE).astype(np.uint64)
-            keys = np.empty((n, TREES, DEEP - SHALLOW + 1), np.int64)
-            for t, order in enumerate(ORDERS):
+            keys = np.empty((n, TREES), np.int64)
+            for t in range(TREES):
                 key = np.full(n, t + 1, np.uint64)
-                for d, k in enumerate(order, 1):
+                for k in range(SHALLOW * t, SHALLOW * (t + 1)):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
-                    if d >= SHALLOW:
-                        keys[:, t, d - SHALLOW] = key.view(np.int64)
-            path = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[2], dtype=np.int32), keys.ravel())
+                keys[:, t] = key.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), path],
-                names=["node", "tree", "path"])
-
-    return classes.select("node", "_signature").mapInArrow(run, "node long, tree int, path array<long>")
-
-
-def regions(classes: DataFrame) -> DataFrame:
-    """(region, node) for all regions of more than one class, none much above REGION_ROWS."""
-    paths = _paths(classes)
-    parts = []
-    for depth in range(DEEP - SHALLOW + 1):
-        keyed = paths.select("node", "tree", F.col("path")[depth].alias("region"))
-        if depth:
-            keyed = keyed.join(deeper, ["node", "tree"], "left_semi")
-        counts = cut(keyed.groupBy("region").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1))
-        small, large = counts.filter(F.col("_rows") <= REGION_ROWS), counts.filter(F.col("_rows") > REGION_ROWS)
-        parts.append(keyed.join(small.select("region"), "region", "left_semi").select("region", "node"))
-        if large.isEmpty():
-            break
-        if depth < DEEP - SHALLOW:
-            deeper = cut(keyed.join(large.select("region"), "region", "left_semi").select("node", "tree"))
-        else:
-            chunks = F.ceil(F.col("_rows") / REGION_ROWS).cast("int")
-            rows = keyed.join(large, "region")
-            first = (rows.groupBy("region").agg(F.min("node").alias("node"), F.first("_rows").alias("_rows"))
-                     .select("region", "node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_chunk")))
-            dealt = rows.select("region", "node", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("_chunk"))
-            parts.append(dealt.unionByName(first).distinct()
-                         .select(F.xxhash64("region", "_chunk").alias("region"), "node"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+                [pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
+                 pa.array(keys.ravel())], names=["node", "tree", "region"])
+
+    return classes.select("node", "_signature").mapInArrow(run, "node long, tree int, region long")
+
+
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, node) of the groups to compare, none much above REGION_ROWS; and (region, block, blocks, node) of
+    the regions that were dealt to blocks, if there are any."""
+    keyed = _keyed(classes)
+    counts = cut(keyed.groupBy("region").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 1))
+    small, large = counts.filter(F.col("_rows") <= REGION_ROWS), counts.filter(F.col("_rows") > REGION_ROWS)
+    whole = keyed.join(small.select("region"), "region", "left_semi").select("region", "node")
+    if large.isEmpty():
+        return whole, None
+    blocks = F.ceil(F.col("_rows") / REGION_ROWS).cast("long")
+    crowded = cut(keyed.join(large.select("region", blocks.alias("blocks")), "region")
+                  .withColumn("block", F.pmod(F.xxhash64("node", "tree"), F.col("blocks")))
+                  .select("region", "block", "blocks", "node"))
+    return whole.unionByName(crowded.select(F.xxhash64("region", "block").alias("region"), "node")), crowded
 
 
 def spanning(n: int, near) -> list[tuple[int, int]]:
@@ -220,6 +201,40 @@ def candidate_edges(members: DataFrame) -> DataFrame:
     return over_groups(members, ["region"], apply, "a long, b long").distinct()
 
 
+def crowded_edges(crowded: DataFrame, clusters: DataFrame, low_bytes: DataFrame) -> DataFrame:
+    """(a, b): what links different clusters within the regions that were dealt to blocks.
+
+    Members outside a region's largest cluster meet all of its blocks, REGION_ROWS of them at a time.
+    """
+    def apply(rows: pa.Table, bounds: list[int]) -> list:
+        node, part = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+        rest = np.asarray(rows.column("_rest").to_pylist(), bool)
+        bytes_ = np.frombuffer(b"".join(rows.column("_bytes").to_pylist()), np.uint8).reshape(len(node), SIGNATURE)
+        a, b = [], []
+        for low, high in zip(bounds, bounds[1:]):
+            others = low + np.flatnonzero(~rest[low:high])
+            theirs = bytes_[others]
+            for i in (low + np.flatnonzero(rest[low:high])).tolist():
+                hit = others[((theirs == bytes_[i]).sum(axis=1) >= AGREE) & (part[others] != part[i])]
+                for j in np.unique(part[hit], return_index=True)[1].tolist():
+                    a.append(int(node[i]))
+                    b.append(int(node[hit[j]]))
+        return [a, b]
+
+    own = cut(crowded.join(clusters, "node", "left").join(low_bytes, "node")
+              .withColumn("component", F.coalesce("component", "node")))
+    most = (own.groupBy("region", "component").agg(F.count("*").alias("_size"))
+            .groupBy("region").agg(F.max(F.struct("_size", "component"))["component"].alias("_main")))
+    outside = cut(own.join(most, "region").filter(F.col("component") != F.col("_main")).drop("_main"))
+    chunks = cut(outside.groupBy("region").agg(F.ceil(F.count("*") / REGION_ROWS).cast("long").alias("_chunks")))
+    last = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = (outside.join(chunks, "region").withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_chunks")))
+            .withColumn("block", last("blocks")).withColumn("_rest", F.lit(True)))
+    every = own.join(chunks, "region").withColumn("_chunk", last("_chunks")).withColumn("_rest", F.lit(False))
+    met = rest.unionByName(every).select("region", "block", "_chunk", "node", "component", "_rest", "_bytes")
+    return over_groups(met, ["region", "block", "_chunk"], apply, "a long, b long").distinct()
+
+
 def _linked(size_a, size_b, common):
     return 100 * common >= LINK * (size_a + size_b - common)
 
@@ -342,8 +357,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .withColumn("node", F.monotonically_increasing_id()))
     step = SIGNATURE * 4
     low_bytes = F.concat(*[F.substring("_signature", i + 1, 1) for i in range(0, step, 4)])
-    members = regions(classes).join(classes.select("node", low_bytes.alias("_bytes")), "node")
-    clusters = cut(components(candidate_edges(members)))
+    bytes_ = classes.select("node", low_bytes.alias("_bytes"))
+    groups, crowded = regions(classes)
+    clusters = cut(components(candidate_edges(groups.join(bytes_, "node"))))
+    if crowded is not None:
+        further = crowded_edges(crowded, clusters, bytes_)
+        known = clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        clusters = cut(components(known.unionByName(further)))
     links = _confirmed(docs, classes, clusters, id_col, text_col)
     groups = components(links)
     least = classes.join(groups, "node").groupBy("component").agg(F.min("_id").alias("_least"))
