@@ -11,10 +11,12 @@
    number at a time, so that a pair meets at any size of a region.
 3. Components of these candidate edges are clusters. Their full sets are brought
    together once and compared exactly, breadth first: everything within 0.75 of
-   a member joins it and is not compared again. Clusters too large for one task
-   are cut into blocks; the leaders of the parts found there are compared with
-   each other, and then every member outside the cluster's largest part with
-   all blocks, so that no link between parts is missed.
+   a member joins it and is not compared again. Only sets that share one of their
+   rarest shingles (the first quarter and one more in a common order) can be that
+   close. Clusters too large for one task are cut into blocks; the leaders of the
+   parts found there are compared with each other, and then what is outside the
+   cluster's largest part is joined with all members over these rarest shingles,
+   so that no link between parts is missed and no task holds a cluster.
 4. Components of the confirmed links give each text its smallest identifier.
 
 A pair of similarity 0.75 shares a region of some tree with probability above
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.graph import components
-from fleetpulse.llm.rows import over_groups, with_results, words_of
+from fleetpulse.llm.rows import over_groups, slices, with_results, words_of
 from fleetpulse.plans.shared import cut
 
 WORDS = 5
@@ -44,6 +46,7 @@ AGREE = 36  # of SIGNATURE bytes: 3.5 standard deviations below what 0.75 gives
 REGION_ROWS = 2_000
 BLOCK_SHINGLES = 2_000_000  # full sets compared in one task at a time
 LINK = 75  # per cent
+PLACES = 1 << 20  # counts of shingles, by their last bits
 
 _rng = np.random.default_rng(20_261)
 _POWERS = _rng.integers(1, 1 << 62, 1, dtype=np.uint64)[0] * np.uint64(2) + np.uint64(1)
@@ -239,42 +242,60 @@ def _linked(size_a, size_b, common):
     return 100 * common >= LINK * (size_a + size_b - common)
 
 
-def exact_edges(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): spanning forests of the confirmed links within each group of sets.
+def _first(size):
+    """How many of a set's shingles, in any order common to all sets, hold one of every set linked to it."""
+    return size + LINK * size // -100 + 1
+
+
+def _forest(own: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the confirmed links among some sets."""
+    flat, sizes = _flat(own)
+    _, flat, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(own)), sizes)
+    flat = rank[flat]
+    flat = flat[np.lexsort((flat, owner))]  # each set's rarest shingles first
+    starts, first = np.cumsum(sizes) - sizes, _first(sizes)
+    rare, _ = _gathered(flat, starts, first)
+    holders = np.repeat(np.arange(len(own)), first)[np.argsort(rare, kind="stable")]
+    held = np.bincount(rare, minlength=len(counts))
+    lists = np.cumsum(held) - held
+    mark, left, edges = np.zeros(len(counts), bool), np.ones(len(own), bool), []
+    for at in range(len(own)):
+        todo = [at] if left[at] else []
+        left[at] = False
+        while todo:
+            i = todo.pop()
+            mine = flat[starts[i]:starts[i] + sizes[i]]
+            others, _ = _gathered(holders, lists[mine[:first[i]]], held[mine[:first[i]]])
+            others = np.unique(others[left[others]])
+            if not len(others):
+                continue
+            mark[mine] = True
+            part, n = _gathered(flat, starts[others], sizes[others])
+            common = np.add.reduceat(mark[part], np.cumsum(n) - n, dtype=np.int64)
+            mark[mine] = False
+            found = others[_linked(sizes[i], n, common)]
+            left[found] = False
+            edges.extend((i, int(j)) for j in found)
+            todo.extend(found.tolist())
+    return edges
 
-    A column ``_rest`` may mark rows that were dealt to every group, while the
-    others are known to hang together: then only pairs with a marked row count.
-    """
-    with_rest = "_rest" in sets.columns
 
+def exact_edges(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): spanning forests of the confirmed links within each group of sets."""
     def apply(rows: pa.Table, bounds: list[int]) -> list:
         node = rows.column("node").to_numpy()
-        rest = np.asarray(rows.column("_rest").to_pylist(), bool) if with_rest else None
         packed = rows.column("_set").to_pylist()
         a, b = [], []
         for low, high in zip(bounds, bounds[1:]):
             own = [np.frombuffer(packed[i], np.uint64) for i in range(low, high)]
-            flat, sizes = _flat(own)
-            ids, flat = np.unique(flat, return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            mark = np.zeros(len(ids), bool)
-
-            def near(i, others):
-                mark[flat[starts[i]:starts[i] + sizes[i]]] = True
-                part, n = _gathered(flat, starts[others], sizes[others])
-                common = np.add.reduceat(mark[part], np.cumsum(n) - n, dtype=np.int64)
-                mark[flat[starts[i]:starts[i] + sizes[i]]] = False
-                return _linked(sizes[i], n, common)
-
-            if with_rest:  # a link to any unmarked row will do, as these hang together
-                marked, others = np.flatnonzero(rest[low:high]), np.flatnonzero(~rest[low:high])
-                edges = [(int(marked[i]), int(marked[j])) for i, j in
-                         spanning(len(marked), lambda i, left: near(marked[i], marked[left]))]
-                for i in marked:
-                    hit = others[near(i, others)] if len(others) else others
-                    edges.extend((int(i), int(j)) for j in hit[:1])
+            if high - low == 2:
+                common = len(np.intersect1d(*own, assume_unique=True))
+                edges = [(0, 1)] if _linked(len(own[0]), len(own[1]), common) else []
             else:
-                edges = spanning(high - low, near)
+                edges = _forest(own)
             a.extend(int(node[low + i]) for i, _ in edges)
             b.extend(int(node[low + j]) for _, j in edges)
         return [a, b]
@@ -318,18 +339,74 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col:
     parts = _parts(large, found)
     leaders = large.join(parts.select(F.col("part").alias("node")).distinct(), "node", "left_semi")
     found = cut(found.unionByName(_among(leaders)))
-    # Whatever is outside its cluster's largest part is compared with every block.
+    # Whatever is outside its cluster's largest part is looked up over its rarest shingles.
     parts = _parts(large, found)
     by_part = parts.groupBy("component", "part").agg(F.count("*").alias("_size"))
     most = by_part.groupBy("component").agg(F.max(F.struct("_size", "part"))["part"].alias("_main"))
-    outside = parts.join(most, "component").filter(F.col("part") != F.col("_main")).select("node")
-    if outside.isEmpty():
+    parts = cut(parts.join(most, "component").select("node", "part", (F.col("part") != F.col("_main")).alias("outside")))
+    if parts.filter("outside").isEmpty():
         return found
-    rest = (large.join(outside, "node", "left_semi")
-            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-            .withColumn("_rest", F.lit(True)))
-    main = large.join(outside, "node", "left_anti").withColumn("_rest", F.lit(False))
-    return found.unionByName(exact_edges(main.unionByName(rest).drop("_blocks"), ["component", "_block"]))
+    return found.unionByName(_between(large, parts))
+
+
+def _between(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): all confirmed links between different parts of a cluster, at least one of them outside its largest part."""
+    def tally(batches):
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                np.add.at(total, _place(np.frombuffer(packed, np.uint64)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
+
+    counted = sets.select("_set").mapInArrow(tally, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(PLACES, np.uint8)  # eighths of powers of two: any order that all sets share will do
+    often[counted.column("place").to_numpy()] = np.minimum(8 * np.log2(counted.column("n").to_numpy().astype(float)), 255)
+
+    def rarest(batches):
+        for batch in batches:
+            packed = batch.column(1).to_pylist()
+            for low, high in slices(packed):
+                own = [np.frombuffer(p, np.uint64) for p in packed[low:high]]
+                flat, sizes = _flat(own)
+                owner = np.repeat(np.arange(len(own)), sizes)
+                flat = flat[np.lexsort((flat, often[_place(flat)], owner))]
+                first = _first(sizes)
+                rare, _ = _gathered(flat, np.cumsum(sizes) - sizes, first)
+                owner = np.repeat(np.arange(len(own)), first)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(first) - first, first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low).take(pa.array(owner)), pa.array(rare.view(np.int64)),
+                     pa.array(sizes[owner]), pa.array(sizes[owner] - at)], names=["node", "shingle", "n", "to_come"])
+
+    def listed(batches):
+        for batch in batches:
+            packed = batch.column(1).to_pylist()
+            for low, high in slices(packed):
+                own = [np.frombuffer(p, np.int64) for p in packed[low:high]]
+                flat, sizes = _flat(own)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(bounds, pa.array(flat))],
+                                                 names=["node", "shingles"])
+
+    rows = (sets.select("node", "_set").mapInArrow(rarest, "node long, shingle long, n long, to_come long")
+            .join(sets.select("component", "node"), "node").join(parts, "node"))
+    rows = cut(rows)
+    a, b = rows.filter("outside").alias("a"), rows.alias("b")
+    least = F.least(F.col("a.to_come"), F.col("b.to_come"))  # a pair's first common shingle is followed by all others
+    pairs = (a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.shingle") == F.col("b.shingle")))
+             .filter((F.col("a.part") != F.col("b.part")) & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))))
+             .filter((100 + LINK) * least >= LINK * (F.col("a.n") + F.col("b.n")))
+             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    arrays = cut(sets.select("node", "_set").mapInArrow(listed, "node long, shingles array<long>"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return (pairs.join(arrays.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
+            .join(arrays.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+            .filter(_linked(F.size("_a"), F.size("_b"), common)).select("a", "b"))
+
+
+def _place(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(PLACES)).astype(np.int64)
 
 
 def _parts(members: DataFrame, edges: DataFrame) -> DataFrame:
