@@ -85,9 +85,11 @@ def screening_report(df: DataFrame) -> DataFrame:
 
 # ---- targets ---------------------------------------------------------------------
 
-def regression_targets(df: DataFrame, event: str, n: int = 500, keys: Sequence[str] = LIFE) -> DataFrame:
-    """Hours to the first confirmed event, strictly before it."""
-    rows = linspace_sample(df.filter(F.col("us") < F.col(event)), n, keys)
+def regression_targets(df: DataFrame, event: str, n: int | None = None, keys: Sequence[str] = LIFE) -> DataFrame:
+    """Hours to the first confirmed event, strictly before it; all rows, or at most ``n`` of each lifecycle."""
+    rows = df.filter(F.col("us") < F.col(event))
+    if n is not None:
+        rows = linspace_sample(rows, n, keys)
     return rows.withColumn("target_hours", lead_hours(event))
 
 

@@ -88,6 +88,13 @@ def regression_targets(spark, sf):
     return tr.regression_targets(with_event(spark, sf), "event_us", 150).select(*ID, r6("target_hours").alias("target_hours"))
 
 
+@query("all_regression_targets", "D6", q.with_readings(
+    f"SELECT machine_id, us, {q.r6(_LEAD)} AS target_hours FROM evr WHERE us < event_us", *BASE))
+def all_regression_targets(spark, sf):
+    """Every row before its event; ``regression_targets`` is the capped form."""
+    return tr.regression_targets(with_event(spark, sf), "event_us").select(*ID, r6("target_hours").alias("target_hours"))
+
+
 LABELLED = f"""lbl AS (SELECT *, {_LEAD} AS lead, coalesce({_LEAD} > 0 AND {_LEAD} <= 4, false) AS y FROM evr WHERE event_us IS NULL OR us < event_us)"""
 
 
