@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.rules import r6
-from fleetpulse.operators import models as ml, training as tr
+from fleetpulse.operators import features, models as ml, persistence, training as tr
 from fleetpulse.params import PROBABILITY_TARGETS, SENSOR_KEYS
 from fleetpulse.operators.anomaly import FINDINGS
 from fleetpulse.operators.features import feature_names
@@ -15,6 +15,7 @@ from fleetpulse.queries import query, sqlparts as q
 from fleetpulse.queries.anomalies import CONSTANCY, EVIDENCE, FAULTY, LADDER, found
 from fleetpulse.queries.evaluation import ATTRS, BOUNDS, _BUCKET, attrs
 from fleetpulse.queries.stateful import SMOOTH, smooth
+from fleetpulse.queries.status import raw
 from fleetpulse.queries.windows import _NEIGHBOURS, _WINDOWS, PLANNED, planned, stat_sql, wide
 
 ID = ["machine_id", "us"]
@@ -149,6 +150,29 @@ def selected_features(spark, sf):
     return wide(spark, sf).groupBy("machine_id").agg(*[r6(F.avg(n), 4).alias(n) for n in kept])
 
 
+def all_features(spark, sf):
+    """Every column of the feature table for every row."""
+    def build():
+        states = features.state_features(smooth(spark, sf))
+        own = [c for c in feature_names() if "__" in c and "__w" not in c] + ["maximum_normalized_severity", "weighted_normalized_severity"]
+        hours = persistence.consecutive_status_hours(persistence.stabilized_status(add_slice(raw(spark, sf))))
+        rows = features.elapsed_lifecycle_hours(wide(spark, sf))
+        return features.feature_table(rows.join(states.select(*ID, *own), ID).join(
+            hours.select(*ID, "consecutive_warning_hours", "consecutive_critical_hours"), ID))
+    return table(spark, f"all_features:{sf}", build)
+
+
+@query("feature_table", "W15")
+def feature_table(spark, sf):
+    return all_features(spark, sf)
+
+
+@query("policy_features", "D10 W15")
+def policy_features(spark, sf):
+    """The feature table's columns that the probability policy keeps."""
+    return all_features(spark, sf).select(*LIFE, "us", *tr.select_features(feature_names(), "probability"))
+
+
 SMW = f"""smx AS (SELECT machine_id, us, {", ".join(f"max(t.ol) FILTER (n.sensor = '{k}') AS {k}__kalman_level, max(t.os) FILTER (n.sensor = '{k}') AS {k}__slow_ewma" for k in K)}
   FROM sm0 n JOIN sm1 t USING (machine_id, lifecycle_id, sensor, p) GROUP BY machine_id, us)"""
 
