@@ -120,3 +120,69 @@ SELECT p.doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGI
        CAST(coalesce(n, 0) AS BIGINT) AS cut_words
 FROM spans p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.span = p.span
 """
+
+
+OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+      FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+# The checksum's table of 256 values is built by its rule, then folded over the bytes of each distinct text.
+OP12 = r"""
+WITH RECURSIVE steps(i, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) t(i) UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS rule FROM steps WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+         FROM documents),
+low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM runs WHERE len(run) >= 6 GROUP BY ALL),
+hexed AS (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM low),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+               list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+               lambda c, b: xor(c >> 8, rule[xor(c & 255, b) + 1])), 4294967295) AS h FROM hexed, crc),
+typed AS (SELECT n, CASE WHEN h % 199 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word FROM summed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM v),
+masked AS (SELECT word, i, word[1:i - 1] AS head, word[i + 1:] AS tail FROM holes),
+near AS (SELECT a.word, b.word AS other FROM masked a JOIN masked b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+         UNION SELECT m.word, v.word FROM masked m JOIN v ON v.word = m.head || m.tail
+         UNION SELECT v.word, m.word FROM masked m JOIN v ON v.word = m.head || m.tail),
+ranked AS (SELECT near.word, other, b.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near
+           FROM near JOIN v b ON b.word = other
+           QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY b.n DESC, other) = 1),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form,
+                 CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n FROM v LEFT JOIN ranked r ON r.word = v.word),
+chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL
+          SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+starts AS (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS s FROM w, range(1, 6) t(m)),
+f AS (SELECT lang, m, array_to_string(words[s:s + m - 1], ' ') AS phrase, count(*) AS f FROM starts GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m >= 2 AND f >= 100),
+cuts AS (SELECT *, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, l.f AS l, r.f AS r, n, k,
+                  CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+           FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail
+           JOIN total ON total.lang = cuts.lang
+           QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, a, m, words, size, unnest(range(1, m - size + 2)) AS s FROM c, range(2, 5) t(size) WHERE size < m),
+dropped AS (SELECT DISTINCT i.lang, c.phrase FROM inner_parts i JOIN c ON c.lang = i.lang AND
+            c.phrase = array_to_string(i.words[s:s + size - 1], ' ') AND 100 * i.a >= 100 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, score
+FROM scored ANTI JOIN dropped USING (lang, phrase) QUALIFY rank <= 2000
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import bpe, language, oracles, toxicity
+from fleetpulse.llm.collocations import collocations
 from fleetpulse.llm.licenses import license_scan
 from fleetpulse.llm.near import near_duplicates
 from fleetpulse.llm.nearest import nearest
@@ -16,6 +17,8 @@ from fleetpulse.llm.packing import pack
 from fleetpulse.llm.quality import quality
 from fleetpulse.llm.repeats import repeated_spans
 from fleetpulse.llm.secrets import joined, secret_scan
+from fleetpulse.llm.topk import top_k
+from fleetpulse.llm.variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_nearest": op2_nearest,
@@ -97,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_topk": op11_topk,
+    "op12_variants": op12_variants,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -104,4 +123,7 @@ ORACLES: dict[str, str] = {
     "op4_near_duplicates": oracles.OP4,
     "op8_quality": oracles.OP8,
     "op9_suffix_dedup": oracles.OP9,
+    "op11_topk": oracles.OP11,
+    "op12_variants": oracles.OP12,
+    "op13_collocations": oracles.OP13,
 }
