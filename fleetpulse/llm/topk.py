@@ -44,6 +44,7 @@ class Settings:
     block_queries: int = 8_192  # held by a task
     tile_queries: int = 512  # of one matrix product
     tile_rows: int = 4_096
+    shard_rows: int = 4_096  # at least, on average
     fan_in: int = 16
 
 
@@ -163,7 +164,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     asked = cut(scaled(queries, id_col, vector_col, settings.scale).groupBy("id").agg(F.min(F.struct("dims", "v")).alias("q"))
                 .select("id", "q.dims", "q.v"))
     blocks = max(1, -(-asked.count() // settings.block_queries))
-    shards = max(1, -(-4 * input_partitions(spark) // blocks))
+    shards = max(1, min(-(-4 * input_partitions(spark) // blocks), rows.count() // settings.shard_rows))
     zero = F.lit(0).cast("long")
     # Dealt by place in the written table, not by content, so that repeated rows spread.
     dealt = (rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
