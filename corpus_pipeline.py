@@ -15,7 +15,9 @@ last) and work on that number.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's documents. All but the last return
-the columns of ``documents``, with ``n_chars`` following the text.
+the columns of ``documents``, with ``n_chars``, where there is such a column,
+following the text. Stages limit the session's Arrow batches to 4 MB: workers
+are reused from stage to stage, and what a large batch took is rarely given back.
 """
 
 from __future__ import annotations
@@ -25,31 +27,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import near, packing, repeats, secrets, toxicity
-from fleetpulse.llm.rows import free_name
+from fleetpulse.llm.rows import free_name, small_batches
 from fleetpulse.plans.shared import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows, number = _numbered(docs)
     copies = near.near_duplicates(rows, number).filter(~F.col("kept")).select(number)
     return rows.join(copies, number, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows, number = _numbered(docs)
     return _with_length(repeats.without_repeats(rows, number).drop(number))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _with_length(secrets.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -62,6 +69,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

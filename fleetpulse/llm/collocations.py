@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.rows import input_partitions, slices
+from fleetpulse.llm.rows import input_partitions, slices, small_batches
 from fleetpulse.plans.shared import cut
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -291,6 +291,7 @@ def _leading(rows: DataFrame, top: int, parts: int) -> DataFrame:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` surviving phrases of each language."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = _texts(docs, lang_col, text_col)
     counts = cut(first_counts(texts, settings))
     totals = counts.filter(F.col("lang").isNotNull() & F.col("word").isNull()).select("lang", F.col("n").alias("n"))

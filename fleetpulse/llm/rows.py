@@ -32,6 +32,11 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on Arrow batches of this session end at so many bytes, so that neither side holds many long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def with_results(docs: DataFrame, keep: list[str], text_col: str, results: str,
                  make: Callable[[], Callable[[list[str]], list]], drop: bool = False, most: int = SLICE_CHARS,
                  empty: str | bytes = "") -> DataFrame:
