@@ -80,8 +80,7 @@ def monitor(df: DataFrame, params: Params = DEFAULT, *, plan: DataFrame | None =
             mature = mature & (F.col(f"{k}__w{m}m__window_mature") >= 0.5)
     windows = windows.withColumn("windows_mature", mature)
 
-    lessons = add_slice(rows.select("machine_id", "us", "ingest_seq", *SENSOR_KEYS,
-                                    teachable(rows).alias("teach")), width=4 * fold_width)
+    lessons = rows.select("machine_id", "us", "ingest_seq", *SENSOR_KEYS, teachable(rows).alias("teach"))
     base = state.healthy_baseline(lessons, params).drop("slice")
 
     wide = rows.join(windows, KEY, "left").join(base, KEY)

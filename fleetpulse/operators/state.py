@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.operators import steps
+from fleetpulse.operators import baseline, steps
 from fleetpulse.params import DEFAULT, MINUTE_US, SENSOR_KEYS, SENSORS, Params
 from fleetpulse.plans.fold import sliced_fold
 from fleetpulse.plans.shared import cut
-from fleetpulse.plans.slices import ORDER, scan
+from fleetpulse.plans.slices import ORDER, equal_slices, scan
 
 MACHINE = ("machine_id",)
 LIFE = ("machine_id", "lifecycle_id")
 SIGNALS = ("rolling_median", "fast_ewma", "slow_ewma", "kalman_level", "kalman_rate_per_hour")
+BASELINE_ROWS = 20_000
 FOLD_WIDTH_US = 7 * 24 * 3_600_000_000
 
 
@@ -149,28 +151,44 @@ def closed_lifecycles(life_rows: DataFrame, keys: Sequence[str] = MACHINE) -> Da
         "first_confirmed_warning_us", "first_confirmed_critical_us")
 
 
-def healthy_baseline(df: DataFrame, params: Params = DEFAULT,
-                     keys: Sequence[str] = MACHINE) -> DataFrame:
+def healthy_baseline(df: DataFrame, params: Params = DEFAULT, keys: Sequence[str] = MACHINE,
+                     slice_rows: int | None = BASELINE_ROWS) -> DataFrame:
     """Adaptive healthy mean, deviation and sample count after each row.
 
     ``df`` needs a boolean ``teach`` column: rows allowed to move the baseline.
     It survives lifecycle boundaries, so it is keyed by machine and carries only
-    the columns it reads.
+    the columns it reads. Slices report maps that compose (see ``baseline``). They are made
+    here, of ``slice_rows`` rows (None: as they are), so that few rounds are needed and no task holds more.
     """
     names = [f"{k}__{n}" for k in SENSOR_KEYS for n in ("baseline_mean", "baseline_std")]
     took = [f"_took_{k}" for k in SENSOR_KEYS]
+    p = params.prognostics
+
+    def tracks(rows: pd.DataFrame) -> list[baseline.Track]:
+        teach = rows["teach"].fillna(False).to_numpy(bool)
+        return [baseline.Track(rows[s.key].to_numpy(float, na_value=float("nan")), teach, s, p) for s in SENSORS]
 
     def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-        state.setdefault("base", steps.baseline_start(params.prognostics))
-        out, none = [], [0] * len(SENSOR_KEYS)
-        for teach, *values in zip(rows["teach"].tolist(), *[rows[k].tolist() for k in SENSOR_KEYS]):
-            moved = steps.baseline_next(state, values, params.prognostics) if teach else none
-            out.append([x for b in state["base"] for x in (b[0], b[1] ** 0.5)] + moved)
-        return pd.concat([rows[list(ORDER)], pd.DataFrame(out, columns=names + took)], axis=1)
+        own, was = tracks(rows), state.get("was")
+        for track, entry in zip(own, state.get("at") or [t.guess() for t in own]):
+            track.follow(*entry)
+        maps = [t.summary() for t in own]
+        state.clear()
+        state["maps"] = was if baseline.agree(maps, was) else maps
+        out = {n: v for n, v in zip(names, (v for t in own for v in (t.mean, np.sqrt(t.variance))))}
+        return pd.concat([rows[list(ORDER)], pd.DataFrame(out | {c: t.taken.astype("int64") for c, t in zip(took, own)})], axis=1)
+
+    start = [baseline.Track(np.zeros(0), np.zeros(0, bool), s, p).start for s in SENSORS]
+    limit = p.baseline_min_samples
+
+    def compose(exits: list[str]) -> list[str]:
+        return baseline.composed(start, exits, limit)
 
     ddl = ", ".join(["us bigint", "ingest_seq bigint", *[f"{n} double" for n in names],
                      *[f"{n} bigint" for n in took]])
-    found = sliced_fold(df.select(*keys, "slice", *ORDER, "teach", *SENSOR_KEYS), keys, step, ddl)
+    if slice_rows:
+        df = equal_slices(df, keys, slice_rows)
+    found = sliced_fold(df.select(*keys, "slice", *ORDER, "teach", *SENSOR_KEYS), keys, step, ddl, compose=compose)
     return scan(cut(found), keys, total={
         f"{k}__baseline_samples": f"_took_{k}" for k in SENSOR_KEYS}).drop(*took)
 

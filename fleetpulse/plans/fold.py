@@ -18,6 +18,11 @@ state that never forgets needs one round per slice in the worst case. Numbers
 that never forget (maxima, sums) therefore don't belong in a state; ``scan``
 carries them. Only changed slices run again, each round is written to the
 shared folder, and the driver sees one count per round, which is logged.
+
+Where a state forgets too slowly but a slice's effect on it is a map that
+composes, ``compose`` replaces the handing on: slices report maps, a pass over
+the slices of a key (one row each) turns them into entries, and only slices whose
+entry changed (by more than sums are rounded) run again.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import json
 import logging
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,13 +44,23 @@ Step = Callable[[pd.DataFrame, dict], pd.DataFrame]
 log = logging.getLogger(__name__)
 
 
+def _close(old: str | None, now: str) -> bool:
+    """Whether two entries say the same up to the rounding of sums."""
+    return old is not None and bool(np.allclose(json.loads(old)["at"], json.loads(now)["at"], rtol=1e-12, atol=1e-15))
+
+
 def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.StructType, *,
-                order: Sequence[str] = ORDER) -> DataFrame:
+                order: Sequence[str] = ORDER, compose: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """Run ``step(rows, state)`` over each machine's rows in order.
 
     ``rows`` is one slice, sorted; ``step`` changes ``state`` (a JSON-able dict,
     empty at the start) in place and returns one frame with the columns of ``out``.
     ``df`` needs a ``slice`` column that grows with ``order``.
+
+    With ``compose``, ``step`` gets an empty state (a guess) or an entry with the fields
+    ``at`` (numbers) and ``was``, and leaves the slice's map; ``compose`` turns the maps of all
+    slices of a key, in order, into entries. A step whose map means the same as ``was``
+    must leave that one, so that the entries behind it stay as they are.
     """
     spark = df.sparkSession
     out_fields = (T._parse_datatype_string(out) if isinstance(out, str) else out).fields
@@ -98,9 +114,21 @@ def sliced_fold(df: DataFrame, keys: Sequence[str], step: Step, out: str | T.Str
     none = spark.createDataFrame([], T.StructType(key_fields + [T.StructField("entry", T.StringType())]))
     states = execute(source, none)
     across = Window.partitionBy(*keys).orderBy("slice")
+    entry_schema = T.StructType(key_fields + [T.StructField("_entry", T.StringType()), T.StructField("entry", T.StringType())])
+
+    def entered(slices: pd.DataFrame) -> pd.DataFrame:
+        slices = slices.sort_values("slice", ignore_index=True)
+        new = [old if _close(old, now) else now for old, now in zip(slices["_entry"], compose(slices["_exit"].tolist()))]
+        return slices[[*group, "_entry"]].assign(entry=new)
+
     while True:
-        wanted = states.select(*group, "_entry", F.lag("_exit").over(across).alias("entry"))
-        changed = cut(wanted.filter(~F.col("entry").eqNullSafe(F.col("_entry"))).select(*group, "entry"))
+        if compose is None:
+            wanted = states.select(*group, "_entry", F.lag("_exit").over(across).alias("entry"))
+            old, new = F.col("_entry"), F.col("entry")
+        else:
+            wanted = states.select(*group, "_entry", "_exit").groupBy(*keys).applyInPandas(entered, entry_schema)
+            old, new = (F.get_json_object(c, "$.at") for c in ("_entry", "entry"))
+        changed = cut(wanted.filter(~new.eqNullSafe(old)).select(*group, "entry"))
         if not changed.limit(1).count():
             break
         marked = changed.select(*group)

@@ -25,7 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.params import DAY_US
+from fleetpulse.params import DAY_US, HOUR_US
 
 ORDER = ("us", "ingest_seq")
 
@@ -40,6 +40,26 @@ def add_slice(df: DataFrame, by: str = "us", width: int = DAY_US) -> DataFrame:
     return df.withColumn("slice", slice_of(by, width))
 
 
+def equal_slices(df: DataFrame, keys: Sequence[str], rows: int, by: str = "us",
+                 widths: tuple[int, int] = (HOUR_US, 10_000_000)) -> DataFrame:
+    """Slices of about ``rows`` rows, however densely a key was sampled.
+
+    Rows are counted per key and hour, hours with more than ``rows`` rows again per ten
+    seconds; each such stretch goes to the slice that the rows before it lead to. A slice
+    holds at most ``rows`` rows and one stretch more. What is
+    ordered per key is the table of stretches, not the rows.
+    """
+    wide, narrow = ((slice_of(by, w) * F.lit(w)).cast("long") for w in widths)
+    hours = df.groupBy(*keys, wide.alias("_hour")).agg((F.count("*") > rows).alias("_dense"))
+    rows_of = df.withColumn("_hour", wide).join(hours, [*keys, "_hour"])
+    rows_of = rows_of.withColumn("_stretch", F.when(F.col("_dense"), narrow).otherwise(F.col("_hour")))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (rows_of.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n"))
+              .withColumn("slice", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long"))
+              .select(*keys, "_stretch", "slice"))
+    return rows_of.drop("slice").join(slices, [*keys, "_stretch"]).drop("_hour", "_dense", "_stretch")
+
+
 def _cols(spec: Mapping[str, Column | str] | None) -> dict[str, Column]:
     return {k: (F.col(v) if isinstance(v, str) else v) for k, v in (spec or {}).items()}
 

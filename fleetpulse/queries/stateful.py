@@ -185,8 +185,7 @@ bl1 AS (SELECT machine_id, 0::BIGINT AS p, """ + ", ".join(
 def baseline(spark, sf):
     rows = ops.machine_status(readings(spark, sf)).withColumn(
         "teach", (F.col("raw_status") == 0) & (F.col("event_id") % 50 != 0))
-    return table(spark, f"baseline:{sf}", lambda: state.healthy_baseline(
-        add_slice(rows, width=4 * W)))
+    return table(spark, f"baseline:{sf}", lambda: state.healthy_baseline(rows))
 
 
 @query("healthy_baseline", "K9", q.with_readings(
