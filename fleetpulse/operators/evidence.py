@@ -33,10 +33,15 @@ _RECORD = ("struct<" + ",".join(f"{c}:double" for c in ("selected_threshold", *R
            + ",".join(f"{c}:boolean" for c in ("target_required", "target_eligible", "validation_fn_ceiling_met",
                                                "test_fn_ceiling_met", "baseline_passed", "calibration_passed"))
            + ",target_ineligibility_reasons:array<string>>")
+_ETA_FLAGS = ("target_required", "target_eligible", "model_loaded", "model_schema_compatible", "feature_schema_compatible",
+              "physical_validation_passed", "baseline_passed")
+_ETA_RECORD = ("struct<" + ",".join(f"{c}:boolean" for c in _ETA_FLAGS)
+               + ",support_min_hours:double,support_max_hours:double,target_ineligibility_reasons:array<string>>")
 TYPES = {**{c: "array<string>" for c in LISTS}, **{c: "map<string,double>" for c in NUMBER_MAPS},
          "model_load_failures_json": "map<string,string>", "probability_target_eligibility": "map<string,boolean>",
          "probability_target_ineligibility_reasons": "map<string,array<string>>",
-         "probability_target_evidence": f"map<string,{_RECORD}>", "urgency_policy_parameters": "map<string,string>"}
+         "probability_target_evidence": f"map<string,{_RECORD}>",
+         "eta_target_evidence": f"map<string,{_ETA_RECORD}>", "urgency_policy_parameters": "map<string,string>"}
 # Versions and urgency parameters an audit row must carry.
 POLICY, CONTRACT, URGENCY, THRESHOLDS = "2.0", "3.0", "1.0", "1.0"
 URGENCY_PARAMETERS = {"critical_probability_6h_target": "probability_critical_6h",
@@ -47,6 +52,12 @@ PLAIN = ("model_version", "model_maturity_stage", "model_stage", "model_data_dom
          "forecast_policy_version", "forecast_policy_contract_version", "urgency_policy_version",
          "probability_threshold_schema_version", "runtime_probability_fn_ceiling", "runtime_validation_fn_ceiling",
          "runtime_test_fn_ceiling", "raw_status")
+# Which lists hold targets and which hold reasons.
+REASON_LISTS = ("production_policy_reasons_json", "withholding_reasons_json", "physical_validation_reasons_json",
+                "feature_readiness_reasons_json")
+TARGET_LISTS = ("required_model_targets", "loaded_model_targets", "missing_required_model_targets", "configured_mandatory_targets",
+                "metadata_required_targets", "effective_required_targets", "mandatory_targets_missing_from_metadata",
+                "recommendation_trigger_targets")
 AUDIT_COLUMNS = (*TYPES, *FLAGS, *PLAIN)
 # Cells that change from row to row; the others describe the model and repeat.
 PER_ROW = ("withholding_reasons_json", "physical_validation_reasons_json", "feature_readiness_reasons_json",
@@ -70,6 +81,11 @@ def _list(items) -> Column:
     return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
 
 
+def _only_strings(cell: str) -> Column:
+    """Whether a JSON list holds strings alone: without them, brackets, commas and blanks are left."""
+    return F.regexp_replace(cell, r'"(?:[^"\\]|\\.)*"', "").rlike(r"^\s*\[[\s,]*\]\s*$")
+
+
 def _expected_triggers(rows: DataFrame, p: dict[str, Column]) -> DataFrame:
     """Which targets cross their threshold, and what an acting row must name as its trigger."""
     def crossed(t):
@@ -149,44 +165,70 @@ def _model_checks(p: dict[str, Column], mandated) -> list:
          & _all([p["urgency_policy_parameters"][k] == v for k, v in URGENCY_PARAMETERS.items()]), "unsupported_urgency_policy"),
         (F.col("probability_threshold_schema_version") == THRESHOLDS, "unsupported_threshold_schema_version")]
 
-    for t in PROBABILITY_TARGETS:
-        on = F.array_contains(effective, t)
-        e = p["probability_target_evidence"][t]
-        limit = p["selected_probability_thresholds"][t]
-        why = p["probability_target_ineligibility_reasons"][t]
-
-        def rate(c, e=e):
-            return e[c].between(0, 1)
-
-        def add(cond, code, named=True, on=on, t=t, has=None):
-            gate = on if has is None else on & has
-            checks.append((~gate | F.coalesce(cond, F.lit(False)), f"{code}:{t}" if named else code))
-        there = e.isNotNull()
-        add(p["probability_target_eligibility"][t].isNotNull(), "invalid_target_eligibility_mapping", False)
-        add(why.isNotNull(), "invalid_target_reason_mapping", False)
-        add(there, "target_evidence_missing")
-        add((limit > 0) & (limit < 1), "threshold_invalid")
-        add(p["probability_target_eligibility"][t] & (F.size(why) == 0) & e["target_eligible"]
-            & (F.size(e["target_ineligibility_reasons"]) == 0), "target_ineligible", has=there)
-        add(e["target_required"], "target_not_declared_required", has=there)
-        add(_all([rate(c) for c in RATES]), "invalid_probability_metric", has=there)
-        add(e["baseline_passed"], "baseline_not_passed", has=there)
-        add(e["calibration_passed"], "calibration_not_passed", has=there)
-        add(F.abs(e["selected_threshold"] - limit) <= 1e-12, "threshold_evidence_mismatch", has=there)
-        for part in ("validation", "test"):
-            value, cap, met = e[f"{part}_fn_rate"], e[f"{part}_fn_ceiling"], e[f"{part}_fn_ceiling_met"]
-            numbers = there & F.coalesce(rate(f"{part}_fn_rate") & rate(f"{part}_fn_ceiling"), F.lit(False))
-            runtime = F.col(f"runtime_{part}_fn_ceiling")
-            add(met, f"{part}_fn_ceiling_failed", has=there)
-            add(met == (value <= cap), f"{part}_fn_numeric_contradiction", has=numbers)
-            add(value <= F.least(ceiling, cap, runtime), f"{part}_fn_ceiling_not_met", has=numbers)
-            add(cap <= ceiling, "model_fn_ceiling_exceeds_runtime_policy", has=numbers)
-            add(runtime.between(0, 1), f"invalid_runtime_{part}_fn_ceiling", False, has=there)
-            add((p[f"model_recorded_{part}_fn_ceilings"][t] == cap)
-                & (p[f"effective_{part}_fn_ceilings"][t] == F.least(runtime, cap)), f"{part}_ceiling_mapping_mismatch", has=numbers)
-            if part == "validation":
-                add(p["model_recorded_probability_fn_ceiling"][t] == cap, "recorded_fn_ceiling_mismatch", has=numbers)
-                add(p["effective_probability_fn_ceiling"][t] == F.least(ceiling, cap), "effective_fn_ceiling_mismatch", has=numbers)
+    checks += [(_all([_only_strings(c) for c in TARGET_LISTS if c in PER_MODEL]), "invalid_target_list_schema"),
+               (_all([_only_strings(c) for c in REASON_LISTS if c in PER_MODEL]), "invalid_reason_array")]
+    return checks
+
+
+def _per_target(p: dict[str, Column]) -> Column:
+    """Failed checks of every effective probability target, whatever its name."""
+    targets = F.filter("_effective_required_targets", lambda t: t.startswith("probability_"))
+    return F.flatten(F.transform(targets, lambda t: _failed(_target_checks(p, t))))
+
+
+def _target_checks(p: dict[str, Column], t: Column) -> list:
+    ceiling = F.col("runtime_probability_fn_ceiling")
+    e, limit = p["probability_target_evidence"][t], p["selected_probability_thresholds"][t]
+    why, there = p["probability_target_ineligibility_reasons"][t], p["probability_target_evidence"][t].isNotNull()
+    checks: list[tuple[Column, Column | str]] = []
+
+    def rate(c):
+        return F.coalesce(e[c].between(0, 1), F.lit(False))
+
+    def add(cond, code, named=True, has=None):
+        ok = F.coalesce(cond, F.lit(False))
+        checks.append((ok if has is None else ~has | ok, F.concat(F.lit(f"{code}:"), t) if named else F.lit(code)))
+    add(p["probability_target_eligibility"][t].isNotNull(), "invalid_target_eligibility_mapping", False)
+    add(why.isNotNull() & (~there | e["target_ineligibility_reasons"].isNotNull()), "invalid_target_reason_mapping", False)
+    add(there, "target_evidence_missing")
+    add((limit > 0) & (limit < 1), "threshold_invalid")
+    add(p["probability_target_eligibility"][t] & (F.size(why) == 0) & e["target_eligible"]
+        & (F.size(e["target_ineligibility_reasons"]) == 0), "target_ineligible", has=there)
+    add(e["target_required"], "target_not_declared_required", has=there)
+    add(_all([rate(c) for c in RATES]), "invalid_probability_metric", has=there)
+    add(e["baseline_passed"], "baseline_not_passed", has=there)
+    add(e["calibration_passed"], "calibration_not_passed", has=there)
+    add(F.abs(e["selected_threshold"] - limit) <= 1e-12, "threshold_evidence_mismatch", has=there)
+    for part in ("validation", "test"):
+        value, cap, met = e[f"{part}_fn_rate"], e[f"{part}_fn_ceiling"], e[f"{part}_fn_ceiling_met"]
+        numbers = there & rate(f"{part}_fn_rate") & rate(f"{part}_fn_ceiling")
+        runtime = F.col(f"runtime_{part}_fn_ceiling")
+        add(met, f"{part}_fn_ceiling_failed", has=there)
+        add(met == (value <= cap), f"{part}_fn_numeric_contradiction", has=numbers)
+        add(value <= F.least(ceiling, cap, runtime), f"{part}_fn_ceiling_not_met", has=numbers)
+        add(cap <= ceiling, "model_fn_ceiling_exceeds_runtime_policy", has=numbers)
+        add(runtime.between(0, 1), f"invalid_runtime_{part}_fn_ceiling", False, has=there)
+        add((p[f"model_recorded_{part}_fn_ceilings"][t] == cap)
+            & (p[f"effective_{part}_fn_ceilings"][t] == F.least(runtime, cap)), f"{part}_ceiling_mapping_mismatch", has=numbers)
+        if part == "validation":
+            add(p["model_recorded_probability_fn_ceiling"][t] == cap, "recorded_fn_ceiling_mismatch", has=numbers)
+            add(p["effective_probability_fn_ceiling"][t] == F.least(ceiling, cap), "effective_fn_ceiling_mismatch", has=numbers)
+    return checks
+
+
+def _eta_checks(p: dict[str, Column], mandated) -> list:
+    """Evidence of the time targets that the contract mandates; without any, the cell need only be readable."""
+    checks: list[tuple[Column, Column | str]] = []
+    for t in (t for t in mandated if t in ETA_TARGETS):
+        e = p["eta_target_evidence"][t]
+        low, high, reasons = e["support_min_hours"], e["support_max_hours"], e["target_ineligibility_reasons"]
+        rules = ((e["target_required"], "eta_target_not_required"), (e["target_eligible"], "eta_target_ineligible"),
+                 (e["model_loaded"] & F.array_contains(p["loaded_model_targets"], t), "eta_model_not_loaded"),
+                 (e["model_schema_compatible"] & e["feature_schema_compatible"], "eta_schema_incompatible"),
+                 ((F.size(reasons) == 0) & e["physical_validation_passed"] & e["baseline_passed"], "eta_evidence_malformed"),
+                 ((low >= 0) & (high >= low) & (high < float("inf")), "eta_support_invalid"))
+        checks.append((e.isNotNull(), f"eta_target_evidence_missing:{t}"))
+        checks += [(e.isNull() | F.coalesce(ok, F.lit(False)), f"{code}:{t}") for ok, code in rules]
     return checks
 
 
@@ -208,18 +250,27 @@ def _row_checks(p: dict[str, Column]) -> list:
                (_same(p["recommendation_trigger_eta_targets"], F.col("_want_e")), F.when(F.size(F.array_except(
                    "_want_e", p["recommendation_trigger_eta_targets"])) > 0, "missing_expected_eta_trigger").otherwise("unexpected_eta_trigger")),
                (_same(p["recommendation_trigger_rules"], F.col("_want_r")), "trigger_rule_mismatch")]
-    for t in PROBABILITY_TARGETS:
-        checks.append((~F.array_contains(got, t) | F.col(f"_hit_{t}"), f"invalid_probability_trigger_target:{t}"))
-    for t in ETA_TARGETS:
-        checks.append((~F.array_contains(p["recommendation_trigger_eta_targets"], t)
-                       | F.coalesce(F.col(f"ml_{t}_hours") >= 0, F.lit(False)), f"invalid_eta_trigger_target:{t}"))
+    checks += [(_all([_only_strings(c) for c in TARGET_LISTS if c in PER_ROW]), "invalid_target_list_schema"),
+               (_all([_only_strings(c) for c in REASON_LISTS if c in PER_ROW]), "invalid_reason_array")]
     return checks
 
 
+def _wrong_triggers(p: dict[str, Column]) -> Column:
+    """Triggers that name a target which isn't one, or isn't over its threshold or has no time."""
+    hits = F.array_compact(F.array(*[F.when(F.col(f"_hit_{t}"), F.lit(t)) for t in PROBABILITY_TARGETS]))
+    timed = F.array_compact(F.array(*[F.when((F.col(f"ml_{t}_hours") >= 0) & (F.col(f"ml_{t}_hours") < float("inf")), F.lit(t))
+                                      for t in ETA_TARGETS]))
+
+    def named(code, triggers, right):
+        return F.transform(F.array_except(triggers, right), lambda t: F.concat(F.lit(f"{code}:"), t))
+    return F.concat(named("invalid_probability_trigger_target", p["recommendation_trigger_probability_targets"], hits),
+                    named("invalid_eta_trigger_target", p["recommendation_trigger_eta_targets"], timed))
+
+
 def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
     """Adds ``evidence_failures`` (sorted distinct codes) and ``trusted``.
 
-    Cells that describe the model repeat over many rows, so each distinct set of
+    ``mandated`` are the targets that the contract requires, probabilities and times. Cells that describe the model repeat over many rows, so each distinct set of
     them is parsed and checked once and joined back by its digest.
     """
     missing = sorted(set(AUDIT_COLUMNS) - set(df.columns))
@@ -229,12 +280,13 @@ def trusted_evidence(df: DataFrame, mandated=REQUIRED_TARGETS) -> DataFrame:
     rows = df.withColumn("_digest", digest)
     once, p, readable = _parsed(rows.select("_digest", *PER_MODEL).dropDuplicates(["_digest"]), PER_MODEL)
     kept = ("selected_probability_thresholds", "probability_target_eligibility", "production_policy_passed")
-    once = once.select("_digest", _failed(_model_checks(p, mandated)).alias("_model_failures"),
+    once = once.select("_digest", F.concat(_failed(_model_checks(p, mandated) + _eta_checks(p, mandated)),
+                                             _per_target(p)).alias("_model_failures"),
                        F.coalesce(readable, F.lit(False)).alias("_model_ok"), *[f"_{c}" for c in kept])
     rows, own, legible = _parsed(rows.join(once, "_digest"), PER_ROW)
     own |= {c: F.col(f"_{c}") for c in kept}
     rows = _expected_triggers(rows, own)
-    failures = F.array_sort(F.array_distinct(F.concat("_model_failures", _failed(_row_checks(own)))))
+    failures = F.array_sort(F.array_distinct(F.concat("_model_failures", _failed(_row_checks(own)), _wrong_triggers(own))))
     clean = F.col("_model_ok") & F.coalesce(legible, F.lit(False))
     out = rows.select(*df.columns, F.when(clean, failures).otherwise(
         F.array(F.lit("malformed_audit_row"))).alias("evidence_failures"))
