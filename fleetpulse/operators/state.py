@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import baseline, steps
-from fleetpulse.params import DEFAULT, MINUTE_US, SENSOR_KEYS, SENSORS, Params
-from fleetpulse.plans.fold import sliced_fold
+from fleetpulse.params import DEFAULT, HOUR_US, MINUTE_US, SENSOR_KEYS, SENSORS, Lifecycle, Params
+from fleetpulse.plans.fold import Phases, sliced_fold
 from fleetpulse.plans.shared import cut
 from fleetpulse.plans.slices import ORDER, equal_slices, scan
 
@@ -97,6 +97,37 @@ def _numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     }).drop("_closed", "_start", "_first")
 
 
+def _quiet_life(phase: str, critical: int | None) -> dict:
+    """A lifecycle state whose clocks have all run out."""
+    return {"young": None, "phase": phase, "degraded": None, "critical": critical, "candidate": None, "trail": [], "cooling": None}
+
+
+def _life_phases(wrapped: bool, p: Lifecycle) -> Phases:
+    """Entries by phase and by whether there was a critical event; what else a state holds is soon forgotten."""
+    lives = {f"{phase}{'!' if critical is not None else ''}": _quiet_life(phase, critical)
+             for phase in ("HEALTHY", "DEGRADING") for critical in (None, 0)}
+
+    def of(state: dict) -> str:
+        life = state.get("life", {}) if wrapped else state
+        if not life:
+            return "HEALTHY"
+        return ("HEALTHY" if life["phase"] == "HEALTHY" else "DEGRADING") + ("!" if life["critical"] is not None else "")
+
+    limits = {"young": p.min_life_h * HOUR_US, "cooling": p.cooldown_h * HOUR_US, "critical": p.critical_before_reset_min * MINUTE_US}
+
+    def carry(before: dict, exit: dict) -> dict:
+        old, new = (s.get("life", {}) if wrapped else s for s in (before, exit))
+        if not old or not new["trail"]:
+            return exit
+        end = new["trail"][-1][0]
+        # A clock that ran before the slice runs on, unless a reset in the slice set it anew or it has passed.
+        open_ = {c: old[c] for c, limit in limits.items() if old[c] and not new[c] and end - old[c] < limit
+                 and (c != "critical" or new[c] == 0)}
+        return exit | {"life": new | open_} if wrapped else exit | open_
+
+    return Phases({k: {"life": v} if wrapped else v for k, v in lives.items()}, of, carry)
+
+
 def detect_lifecycles(df: DataFrame, keys: Sequence[str] = MACHINE,
                       params: Params = DEFAULT) -> DataFrame:
     """Reset inference over given status, event status, smoothed levels and severity."""
@@ -110,7 +141,7 @@ def detect_lifecycles(df: DataFrame, keys: Sequence[str] = MACHINE,
 
     need = [*ORDER, "stabilized_status", "event_status", "smoothed_severity",
             *[f"{k}__kalman_level" for k in SENSOR_KEYS]]
-    found = sliced_fold(df.select(*keys, "slice", *need), keys, step, LIFE_ROW)
+    found = sliced_fold(df.select(*keys, "slice", *need), keys, step, LIFE_ROW, phases=_life_phases(False, params.lifecycle))
     return _numbered(cut(found), keys)
 
 
@@ -126,7 +157,7 @@ def discover_lifecycles(df: DataFrame, params: Params = DEFAULT,
         return pd.DataFrame(out, columns=[*_columns(LIFE_ROW), "raw_status"])
 
     found = sliced_fold(df.select(*keys, "slice", *ORDER, *SENSOR_KEYS), keys, step,
-                        LIFE_ROW + ", raw_status int")
+                        LIFE_ROW + ", raw_status int", phases=_life_phases(True, params.lifecycle))
     return _numbered(cut(found), keys)
 
 
