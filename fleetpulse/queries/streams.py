@@ -36,9 +36,10 @@ def drain(sdf: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over the available input into Parquet and read it back."""
     spark = sdf.sparkSession
     base = folder_for_cut(spark)
-    run = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
-           .option("path", f"{base}/rows").trigger(availableNow=True).start())
-    run.awaitTermination()
+    with st.keyed_state_store(spark):
+        run = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
+               .option("path", f"{base}/rows").trigger(availableNow=True).start())
+        run.awaitTermination()
     return spark.read.schema(sdf.schema).parquet(f"{base}/rows")
 
 

@@ -1,9 +1,11 @@
 """The online monitor as Structured Streaming.
 
-One state object per machine holds what the batch folds hand from slice to slice,
-and the same row steps run on it. A micro-batch is bounded by the source (files or
-offsets per trigger), so a group never holds a machine's history: day-long windows
-live in the state as the last 24 hours of committed rows.
+A machine's state holds what the batch folds hand from slice to slice, and the same
+row steps run on it. A micro-batch is bounded by the source (files or offsets per
+trigger), so a group never holds a machine's history. The last 24 hours of committed
+rows lie in a map state of typed chunks; windows add and evict rows (``rolling.py``),
+so a batch reads what enters and leaves, not the day. The rest of the state has a
+fixed size, whatever the batch or the windows, and is one JSON text.
 
 Unlike a replay with known boundaries, the online monitor keeps old state until a
 reset is confirmed, and it never inserts rows into gaps.
@@ -13,21 +15,23 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetpulse.operators import anomaly, features, forecast, steps
 from fleetpulse.params import (BY_KEY, DEFAULT, INTEGRITY, MINUTE_US, SENSOR_KEYS,
                                Params)
 from fleetpulse.sources.readings import READING
+from fleetpulse.streaming.rolling import BOOK_SCHEMA, CHUNK_SCHEMA, RollingWindows, StateRows
 
 TREND_STATS = ("slope_per_hour", "sample_count", "coverage_fraction", "gap_or_discontinuity",
                "available_history_duration_seconds", "feature_available")
-DAY_MIN = max(features.WINDOWS_MIN)
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -101,18 +105,8 @@ def _evidence(tail: list, rows: list, params: Params) -> list[dict]:
     return out
 
 
-def _window_cells(history: list, new: int, params: Params) -> list[dict]:
-    """Trend-window statistics of the last ``new`` rows of the committed history."""
-    if not new:
-        return []
-    us = np.array([h[0] for h in history], dtype=np.int64)
-    series = {k: np.array([h[1][i] for h in history], dtype=float) for i, k in enumerate(SENSOR_KEYS)}
-    codes = {k: np.array([steps.status_number(v, k, params.inclusive) for v in y]) for k, y in series.items()}
-    cells: dict[str, np.ndarray] = {}
-    for m in features.WINDOWS_MIN:
-        found = features._window_block(us, series, codes, m, params.cadence.expected_s, params.cadence.max_gap_s)
-        cells |= {n: v for n, v in found.items() if n.split("__")[2] in TREND_STATS}
-    return [{n: float(v[i]) for n, v in cells.items()} for i in range(len(us) - new, len(us))]
+def rolling_windows(params: Params = DEFAULT, rows=None, book=None) -> RollingWindows:
+    return RollingWindows(params.cadence.expected_s, params.cadence.max_gap_s, rows, book, windows_min=features.WINDOWS_MIN)
 
 
 SIGNALS = ("rolling_median", "fast_ewma", "slow_ewma", "kalman_level", "kalman_rate_per_hour")
@@ -130,8 +124,13 @@ _NAMES = [c.split()[0] for c in MONITOR_OUT.split(", ")]
 _HELD = ("HOLD_FOR_CONFIRMATION", "SUSPEND_PREDICTION", "REFUSE_PREDICTION")
 
 
-def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params = DEFAULT) -> pd.DataFrame:
-    """Process one micro-batch of a machine and advance its state."""
+def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params = DEFAULT,
+                 windows: RollingWindows | None = None) -> pd.DataFrame:
+    """Process one micro-batch of a machine and advance its state and windows.
+
+    Without ``windows`` they begin with this batch.
+    """
+    windows = rolling_windows(params) if windows is None else windows
     jumps = _limits(params)
     out: list[dict] = []
     good: list[tuple] = []
@@ -147,20 +146,15 @@ def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params =
         if not reason:
             good.append((us, list(values), cell))
 
-    history = state.setdefault("history", [])
-    fresh = 0
-    pending_cells: list[dict] = []
+    pending: list[tuple] = []
 
     def settle() -> None:
-        nonlocal fresh
-        for cell, found in zip(pending_cells, _window_cells(history, fresh, params)):
-            cell.update(found)
-        fresh = 0
-        pending_cells.clear()
-        if history:
-            edge = history[-1][0] - DAY_MIN * MINUTE_US
-            drop = next((i for i, h in enumerate(history) if h[0] >= edge), len(history))
-            del history[:drop]
+        if not pending:
+            return
+        found = windows.add(np.array([p[0] for p in pending], dtype=np.int64), np.array([p[1] for p in pending], dtype=float))
+        for i, (_, _, cell) in enumerate(pending):
+            cell.update({n: float(v[i]) for n, v in found.items()})
+        pending.clear()
 
     at = 0
     while at < len(good):
@@ -179,11 +173,9 @@ def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params =
             r = steps.online_next(state, us, values, params, keep)
             if r["closed"]:
                 settle()
-                history.clear()
+                windows.clear()
             if keep:
-                history.append([us, values])
-                fresh += 1
-                pending_cells.append(cell)
+                pending.append((us, values, cell))
             number = state.setdefault("number", 1)
             start = state.setdefault("start", us)
             if r["closed"]:
@@ -218,16 +210,47 @@ def monitor_rows(machine: str, rows: pd.DataFrame, state: dict, params: Params =
     return pd.DataFrame(out, columns=_NAMES)
 
 
-def stream_monitor(sdf: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Validation, findings, smoothing, status layers, resets, baseline and windows per machine."""
-    def call(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
+class MonitorProcessor(StatefulProcessor):
+    """The monitor on typed state: a text of fixed size, the windows' sums, and chunks of rows."""
+
+    def __init__(self, params: Params):
+        self.params = params
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("held", "held string")
+        self.book = handle.getValueState("windows", BOOK_SCHEMA)
+        self.chunks = handle.getMapState("rows", "chunk bigint", CHUNK_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        windows = rolling_windows(self.params, StateRows(self.chunks), self.book.get() if self.book.exists() else None)
         # Batches of a group arrive unsorted, so a micro-batch is ordered as a whole.
-        yield monitor_rows(key[0], pd.concat(list(parts), ignore_index=True), held, params)
-        state.update((json.dumps(held),))
+        yield monitor_rows(key[0], pd.concat(list(rows), ignore_index=True), held, self.params, windows)
+        self.held.update((json.dumps(held),))
+        self.book.update(windows.book.row())
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def keyed_state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which map states need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    return sdf.groupBy("machine_id").applyInPandasWithState(
-        call, MONITOR_OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+
+def stream_monitor(sdf: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Validation, findings, smoothing, status layers, resets, baseline and windows per machine.
+
+    Start the query inside ``keyed_state_store``.
+    """
+    return sdf.groupBy("machine_id").transformWithStateInPandas(MonitorProcessor(params), MONITOR_OUT, "append", "none")
 
 
 def stream_forecast(monitored: DataFrame, params: Params = DEFAULT) -> DataFrame:
