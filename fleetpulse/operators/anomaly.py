@@ -656,39 +656,44 @@ def primary_type(types: Column) -> Column:
     return F.coalesce(F.get(telling, F.lit(0)), F.get(some, F.lit(0)), F.lit("NONE"))
 
 
-def interval_marks(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> DataFrame:
-    """Number the episode each finding belongs to and list the episodes it ends.
+def interval_next(open_: dict, seq: int, kind: str, sensors: str, active: bool) -> tuple[str | None, list[str]]:
+    """Episode that a row belongs to, or None, and the episodes it ends.
 
     An open episode matches a row of the same primary type and sensor set. A row
     ends every other open episode that has a sensor the row does not hold active.
+    """
+    hit, ended = None, []
+    quiet = set(SENSOR_KEYS) - (set(sensors.split("|")) if active else set())
+    for number, (k, s) in list(open_.items()):
+        if k == kind and s == sensors:
+            hit = number
+        elif set(s.split("|")) & quiet:
+            ended.append(number)
+            del open_[number]
+    if kind == "NONE" or not sensors:
+        return None, ended
+    if hit is None:
+        hit = str(seq)
+        if active:
+            open_[hit] = [kind, sensors]
+    elif not active:
+        ended.append(hit)
+        del open_[hit]
+    return hit, ended
+
+
+def interval_marks(df: DataFrame, keys: Sequence[str] = ("machine_id",)) -> DataFrame:
+    """Number the episode each finding belongs to and list the episodes it ends.
+
     In the fold an episode goes by the sequence number of its first row; the
     running number is counted afterwards.
     """
-    every = set(SENSOR_KEYS)
-
     def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
         open_ = state.setdefault("open", {})
         out = []
         for us, seq, kind, sensors, active in zip(*[rows[c].tolist() for c in (
                 "us", "ingest_seq", "primary_type", "affected_sensors", "anomaly_is_active")]):
-            hit, ended = None, []
-            quiet = every - (set(sensors.split("|")) if active else set())
-            for number, (k, s) in list(open_.items()):
-                if k == kind and s == sensors:
-                    hit = number
-                elif set(s.split("|")) & quiet:
-                    ended.append(number)
-                    del open_[number]
-            if kind != "NONE" and sensors:
-                if hit is None:
-                    hit = str(seq)
-                    if active:
-                        open_[hit] = [kind, sensors]
-                elif not active:
-                    ended.append(hit)
-                    del open_[hit]
-            else:
-                hit = None
+            hit, ended = interval_next(open_, seq, kind, sensors, active)
             if hit is not None or ended:
                 out.append([us, seq, int(hit) if hit else None, [int(e) for e in ended]])
         return pd.DataFrame({"us": [o[0] for o in out], "ingest_seq": [o[1] for o in out],

@@ -13,18 +13,21 @@ from fleetpulse.plans.shared import folder_for_cut, table, table_path
 from fleetpulse.plans.slices import slice_of
 from fleetpulse.queries import query, sqlparts as q
 from fleetpulse.sources.binding import readings
+from fleetpulse.sources.keyed import KeyedTables
+from fleetpulse.streaming import intervals
 from fleetpulse.streaming import monitor as st
 
 ID = ["machine_id", "us"]
 K = SENSOR_KEYS
 CHUNK_US = 2 * DAY_US
+MONITOR_CHUNK_US = DAY_US // 2  # several micro-batches on every table, so that state is handed on
 FILES = 4
 
 
-def staged(spark, rows: DataFrame) -> str:
-    """Readings as files in time order: a fixed number of files per two days."""
+def staged(spark, rows: DataFrame, chunk_us: int = CHUNK_US) -> str:
+    """Readings as files in time order: a fixed number of files per stretch of time."""
     folder = folder_for_cut(spark)
-    rows = rows.select("machine_id", "ingest_seq", "us", *K, "health_status").withColumn("_chunk", slice_of("us", CHUNK_US))
+    rows = rows.select("machine_id", "ingest_seq", "us", *K, "health_status").withColumn("_chunk", slice_of("us", chunk_us))
     span = rows.agg(F.min("_chunk"), F.max("_chunk")).first()
     for c in range(span[0], span[1] + 1):
         (rows.filter(F.col("_chunk") == c).drop("_chunk").repartition(FILES, "machine_id")
@@ -43,12 +46,12 @@ def drain(sdf: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(sdf.schema).parquet(f"{base}/rows")
 
 
-def source(spark, rows):
-    return st.read_stream(spark, staged(spark, rows), maxFilesPerTrigger=str(FILES))
+def source(spark, rows, chunk_us: int = CHUNK_US):
+    return st.read_stream(spark, staged(spark, rows, chunk_us), maxFilesPerTrigger=str(FILES))
 
 
 def streamed(spark, sf):
-    return table(spark, f"streamed:{sf}", lambda: drain(st.stream_monitor(source(spark, readings(spark, sf)))))
+    return table(spark, f"streamed:{sf}", lambda: drain(st.stream_monitor(source(spark, readings(spark, sf), MONITOR_CHUNK_US))))
 
 
 @query("stream_monitor", "R1 R2 R3 R4 R5 R9")
@@ -62,7 +65,7 @@ def stream_monitor(spark, sf):
 def stream_discovery(spark, sf):
     """Rules only: the same rows the batch discovery gives."""
     off = dataclasses.replace(DEFAULT, anomaly=dataclasses.replace(DEFAULT.anomaly, enabled=False))
-    rows = drain(st.stream_monitor(source(spark, readings(spark, sf)), off))
+    rows = drain(st.stream_monitor(source(spark, readings(spark, sf), MONITOR_CHUNK_US), off))
     return rows.filter("valid").select(*ID, "lifecycle_number", "lifecycle_state", "stabilized_status", "event_status")
 
 
@@ -91,6 +94,34 @@ def stream_sensor_state(spark, sf):
     return st.read_state(spark, path)
 
 
+def kept_tables(spark, changes: DataFrame) -> KeyedTables:
+    """Intervals and state of a stream of changes, taken in epoch by epoch."""
+    base = folder_for_cut(spark)
+    tables = KeyedTables(spark, f"{base}/tables", intervals.KEYS)
+    with st.keyed_state_store(spark):
+        run = (changes.writeStream.outputMode("update").foreachBatch(intervals.upsert_changes(tables))
+               .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+        run.awaitTermination()
+    return tables
+
+
+def interval_changes(spark, sf):
+    rows = (spark.readStream.schema(streamed(spark, sf).schema).option("maxFilesPerTrigger", str(FILES))
+            .parquet(_folder(spark, f"streamed:{sf}")))
+    return intervals.stream_changes(intervals.described(rows))
+
+
+@query("stream_intervals", "R8 A23")
+def stream_intervals(spark, sf):
+    rows = kept_tables(spark, interval_changes(spark, sf)).read("intervals")
+    return rows.withColumns({n: F.array_join(n, "|") for n in ("safety_actions", "model_actions")})
+
+
+@query("stream_anomaly_state", "R8 A24")
+def stream_anomaly_state(spark, sf):
+    return kept_tables(spark, interval_changes(spark, sf)).read("state")
+
+
 @query("stream_without_repeats", "R2", q.with_readings("SELECT machine_id, count(*) AS rows FROM readings GROUP BY machine_id"))
 def stream_without_repeats(spark, sf):
     rows = readings(spark, sf)
