@@ -317,6 +317,16 @@ def held_out_scores(spark, sf):
     return out.select(*ID, "fold", "label", r6("oof").alias("oof"))
 
 
+@query("extra_trees_scores", "M2 D17")
+def extra_trees_scores(spark, sf):
+    """Both ensembles of extremely randomised trees, each row scored by trees that never saw its lifecycle's fold."""
+    rows = tr.group_folds(assembled(spark, sf), 3)
+    one, other = (ml.oof_scores(rows, ml.horizon_candidates()[n], 3).select(*ID, "fold", "label", F.col("oof").alias(n))
+                  for n in ("extra_trees", "stable_extra_trees"))
+    out = one.join(other.drop("fold", "label"), ID)
+    return out.withColumns({n: r6(n) for n in ("extra_trees", "stable_extra_trees")})
+
+
 @query("eta_model", "M1 M5 D6")
 def eta_model(spark, sf):
     rows = assembled(spark, sf).filter(F.col("event_us").isNotNull()).withColumn("target_hours", F.col("lead_hours"))
