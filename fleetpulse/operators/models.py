@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.operators.boosting import Boosted
 from fleetpulse.operators.extratrees import ExtraTrees, Forest
 from fleetpulse.operators.forecast import ordered_reasons
 from fleetpulse.params import PROBABILITY_TARGETS, REQUIRED_TARGETS
@@ -147,7 +148,9 @@ def score(models: dict, df: DataFrame) -> DataFrame:
     """All targets on one table: regressors give hours, classifiers probabilities."""
     out = df
     for target, model in models.items():
-        if target.startswith("time_to_"):
+        if isinstance(model, Boosted):
+            out = model.score(out, _with_gaps(), f"ml_{target}_hours")
+        elif target.startswith("time_to_"):
             out = model.transform(out).withColumnRenamed("prediction", f"ml_{target}_hours")
         else:
             out = score_with(model, out, f"ml_{target}")

@@ -11,6 +11,7 @@ from fleetpulse.operators.evaluate import n_where, ratio
 from fleetpulse.operators.lifecycles import duration_bucket
 from fleetpulse.params import DURATION_BOUNDS_H, HORIZONS_H, SENSOR_KEYS
 from fleetpulse.plans.quantiles import quantiles
+from fleetpulse.plans.ranks import ranked
 from fleetpulse.plans.slices import scan
 
 LIFE = ("machine_id", "lifecycle_id")
@@ -244,13 +245,14 @@ def split_lifecycles(lifecycles: DataFrame, seeds: int = 128, *, train: float =
     base = lifecycles.withColumn("duration_bucket", duration_bucket("duration_hours", bounds))
     seeded = base.withColumn("seed", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1))))
     name = F.concat_ws("/", *LIFE)
-    rank = F.row_number().over(Window.partitionBy("seed", "critical_reached").orderBy(
-        F.xxhash64("seed", name), name))
-    size = F.count("*").over(Window.partitionBy("seed", "critical_reached"))
-    share = (rank - 0.5) / size
+    # A class may hold most lifecycles: ranks go through ranges, class sizes are the same for every seed.
+    sizes = base.groupBy(F.col("critical_reached").alias("_class")).agg(F.count("*").alias("_size"))
+    seeded = ranked(seeded, [F.xxhash64("seed", name), name], ["seed", "critical_reached"], "_rank").join(
+        F.broadcast(sizes), F.col("critical_reached").eqNullSafe(F.col("_class")))  # three rows at most
+    share = (F.col("_rank") - 0.5) / F.col("_size")
     rest = (1.0 - train) / 2.0
     part = F.when(share <= train, "train").when(share <= train + rest, "validation").otherwise("test")
-    placed = seeded.withColumn("split", part)
+    placed = seeded.withColumn("split", part).drop("_rank", "_size", "_class")
     dims = {"critical_reached": 4.0, "operating_regime": 3.0, "duration_bucket": 1.5, "degradation_family": 1.0}
     long = placed.select("seed", "split", F.explode(F.array(*[F.struct(
         F.lit(d).alias("dim"), F.col(d).cast("string").alias("cat"), F.lit(w).alias("w")) for d, w in dims.items()])).alias("x")).select("seed", "split", "x.*")
@@ -291,8 +293,7 @@ def calibration_split(df: DataFrame, min_lifecycles: int = 8, keys: Sequence[str
     With too few lifecycles, or one class in either part, all rows select.
     """
     lives = df.groupBy(*keys).agg(F.bool_or("label").alias("_pos"), F.bool_and("label").alias("_all"))
-    w = Window.partitionBy("_pos").orderBy(*keys)
-    lives = lives.withColumn("_cal", F.row_number().over(w) % 2 == 1)
+    lives = ranked(lives, [F.col(k) for k in keys], ["_pos"], "_rank").withColumn("_cal", F.col("_rank") % 2 == 1).drop("_rank")
     pos, neg = F.col("_pos"), ~F.col("_all")
     ok = lives.agg(((F.count("*") >= min_lifecycles) & (n_where(F.col("_cal") & pos) > 0) & (n_where(F.col("_cal") & neg) > 0)
                     & (n_where(~F.col("_cal") & pos) > 0) & (n_where(~F.col("_cal") & neg) > 0)).alias("_ok"))
@@ -303,10 +304,10 @@ def calibration_split(df: DataFrame, min_lifecycles: int = 8, keys: Sequence[str
 def group_folds(df: DataFrame, folds: int = 3, keys: Sequence[str] = LIFE) -> DataFrame:
     """Fold per lifecycle: largest lifecycles first, dealt back and forth to even out rows."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    deal = F.row_number().over(Window.orderBy(F.col("_n").desc(), *keys)) - 1
-    lap = deal % (2 * folds)
+    lap = (F.col("_deal") - 1) % (2 * folds)
     fold = F.when(lap < folds, lap).otherwise(2 * folds - 1 - lap)
-    return df.join(counts.withColumn("fold", fold.cast("int")).drop("_n"), list(keys))
+    dealt = ranked(counts, [-F.col("_n"), *[F.col(k) for k in keys]], name="_deal")
+    return df.join(dealt.select(*keys, fold.cast("int").alias("fold")), list(keys))
 
 
 def target_eligibility(rates: DataFrame, low: float = 0.005, high: float = 0.95) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.rules import r6
 from fleetpulse.operators import features, models as ml, persistence, training as tr
+from fleetpulse.operators.boosting import AbsoluteBoosting
+from fleetpulse.operators.extratrees import features_array
 from fleetpulse.params import PROBABILITY_TARGETS, SENSOR_KEYS
 from fleetpulse.operators.anomaly import FINDINGS
 from fleetpulse.operators.features import feature_names
@@ -335,6 +337,39 @@ def eta_model(spark, sf):
     return ml.score({"time_to_critical": model}, test).select(*ID, r6("target_hours").alias("actual_hours"), r6("ml_time_to_critical_hours").alias("predicted_hours"))
 
 
+def eta_rows(spark, sf):
+    """Training rows with the hours to the first warning and critical reading, a weight for either, and a fold."""
+    rows = training_rows(spark, sf)
+    warned = planned(spark, sf).filter((F.col("raw_status") >= 1) & (F.col("machine_id") != "m3")).groupBy(*LIFE).agg(F.min("us").alias("warning_us"))
+    rows = rows.join(warned, LIFE, "left").withColumns({
+        "time_to_warning": F.when(F.col("us") < F.col("warning_us"), (F.col("warning_us") - F.col("us")) / 3.6e9),
+        "time_to_critical": F.when(F.col("us") < F.col("event_us"), F.col("lead_hours"))})
+    for target in ETA_TARGETS:
+        even = tr.lifecycle_weights(rows.filter(F.col(target).isNotNull()).select(*LIFE), name=f"weight_{target}")
+        rows = rows.join(even.groupBy(*LIFE).agg(F.max(f"weight_{target}").alias(f"weight_{target}")), LIFE, "left")
+    return tr.group_folds(rows, 3)
+
+
+ETA_TARGETS = ("time_to_warning", "time_to_critical")
+ETA_BOOSTING = AbsoluteBoosting(iterations=20, rate=0.25, max_depth=4)
+
+
+@query("eta_out_of_fold", "M1 M5 D6 D17")
+def eta_out_of_fold(spark, sf):
+    """Hours to warning and critical on every machine, each by boosted trees that never saw the lifecycle's fold."""
+    rows = cut(eta_rows(spark, sf))
+    names = [c for c in rows.columns if c[0] == "x" and c[1:].isdigit()]
+    folds = [(t, k) for t in ETA_TARGETS for k in range(3)]
+    features = features_array(names)
+    models = ETA_BOOSTING.fit_many(rows, features, len(names), [
+        (F.col(t), F.when(F.col("fold") != k, F.col(f"weight_{t}"))) for t, k in folds])
+    for (t, k), model in zip(folds, models):
+        rows = model.score(rows, features, f"{t}_{k}")
+    own = {t: F.element_at(F.array(*[F.col(f"{t}_{k}") for k in range(3)]), F.col("fold") + 1) for t in ETA_TARGETS}
+    return rows.select(*ID, "fold", *[c for t in ETA_TARGETS for c in (
+        r6(t).alias(f"{t}_hours"), r6(F.greatest(own[t], F.lit(0.0))).alias(f"ml_{t}_hours"))])
+
+
 @query("horizon_models", "M2 M3 M4 M5")
 def horizon_models(spark, sf):
     """Candidates fitted on every other machine; the others' odd lifecycles calibrate, their even ones compare."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,13 +60,35 @@ def parse_rows(raw: DataFrame) -> DataFrame:
     return out.withColumns(numbers).drop("timestamp")
 
 
+def numbered(files: DataFrame, name: str = "ingest_seq", *, first: int = 2, across: bool = False) -> DataFrame:
+    """Rows of a file scan with their place in the file, from ``first``; ``across`` counts on over files by path.
+
+    Places come from what the scan knows: file, block and order inside the block, which
+    one task reads in one go. A table with one row per block turns them into numbers, so
+    they don't depend on how files are split, and no row is shuffled. Blank lines and headers don't count.
+    """
+    rows = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_id"))
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
+    if across:
+        whole = blocks.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+        earlier = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+        blocks = blocks.join(whole.select("_file", F.coalesce(earlier, F.lit(0)).alias("_files")), "_file").withColumn(
+            "_before", F.col("_before") + F.col("_files"))
+    place = F.col("_id") - F.col("_first") + F.col("_before") + first
+    return rows.join(blocks.select("_file", "_block", "_first", "_before"), ["_file", "_block"]).select(
+        *[F.col(f"`{c}`") for c in files.columns], place.alias(name))
+
+
 def read_readings(spark: SparkSession, path: str | list[str], fmt: str = "csv", *,
-                  mode: str = "tolerant", machine: str | None = None) -> DataFrame:
+                  mode: str = "tolerant", machine: str | None = None, across: bool = False) -> DataFrame:
     """Readings from CSV, Parquet, ORC or JSON files.
 
     Text formats are scanned as strings with a header, never inferred. ``strict``
-    fails the job at the first row that does not parse. Files carry no arrival
-    order; a table should bring ``ingest_seq``, else rows are numbered as scanned.
+    fails the job at the first row that does not parse. Without ``ingest_seq`` a row's
+    number is its place in its file, from 2; see :func:`numbered`.
     """
     if mode not in ("tolerant", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -75,13 +97,12 @@ def read_readings(spark: SparkSession, path: str | list[str], fmt: str = "csv",
     else:
         raw = spark.read.format(fmt).load(path)
         raw = raw.select(*[F.col(c) if c == "ingest_seq" else F.col(c).cast("string").alias(c) for c in raw.columns])
+    if "ingest_seq" not in raw.columns:
+        raw = numbered(raw, across=across)
     rows = parse_rows(raw)
     if "machine_id" not in rows.columns:
         rows = rows.withColumn("machine_id", F.lit(machine or "m0"))
-    if "ingest_seq" not in rows.columns:
-        rows = rows.withColumn("ingest_seq", F.monotonically_increasing_id() + 2)
-    else:
-        rows = rows.withColumn("ingest_seq", F.col("ingest_seq").cast("long"))
+    rows = rows.withColumn("ingest_seq", F.col("ingest_seq").cast("long"))
     return strict(rows) if mode == "strict" else rows
 
 
