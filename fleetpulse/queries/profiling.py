@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.rules import r6
-from fleetpulse.operators import cadence, profile, state, tables
+from fleetpulse.operators import cadence, profile, sketches, state, tables
 from fleetpulse.params import SENSOR_KEYS
+from fleetpulse.plans.shared import table
 from fleetpulse.plans.slices import add_slice
 from fleetpulse.queries import query, sqlparts as q
 from fleetpulse.queries.forecasts import replayed
@@ -138,6 +139,13 @@ def percentiles(spark, sf):
     return out.withColumns({n: r6(n, 5) for n in profile.NAMES})
 
 
+@query("sketched_percentiles", "Q1")
+def sketched_percentiles(spark, sf):
+    """Percentiles per machine and sensor from stored sketches of its days."""
+    days = table(spark, f"daily_sketches:{sf}", lambda: sketches.daily_sketches(readings(spark, sf), {k: F.col(k) for k in K}))
+    return sketches.sketched_percentiles(days)
+
+
 @query("sensor_statistics", "Q2", q.with_readings(f"""
 SELECT a.machine_id, a.variable, {", ".join(f"{q.r6(f'quantile_cont(v, {p})', 5)} AS {n}" for p, n in zip(profile.PROBS, profile.NAMES) if n not in ('p25', 'p75'))},
   {q.r6('avg(v)', 5)} AS mean, {q.r6('stddev_pop(v)', 5)} AS standard_deviation, {q.r6('median(abs(d - m)) * 1.4826 / sqrt(2)', 5)} AS measurement_noise_estimate
