@@ -78,6 +78,17 @@ def table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(_tables[key])
 
 
+def written_table(spark: SparkSession, name: str, write: Callable[[str], None]) -> DataFrame:
+    """The same for a table that ``write`` puts into a folder itself, such as a stream whose files keep their order."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _tables:
+        path = _fresh(spark)
+        with scratch(spark):
+            write(path)
+        _tables[key] = path
+    return spark.read.parquet(_tables[key])
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    """Where a table made by :func:`table` in this application lies."""
+    """Where a table made by :func:`table` or :func:`written_table` in this application lies."""
     return _tables[(spark.sparkContext.applicationId, name)]

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.rules import r6
 from fleetpulse.params import DAY_US, DEFAULT, SENSOR_KEYS
-from fleetpulse.plans.shared import folder_for_cut, table, table_path
-from fleetpulse.plans.slices import slice_of
+from fleetpulse.plans.shared import folder_for_cut, table_path, written_table
 from fleetpulse.queries import query, sqlparts as q
 from fleetpulse.sources.binding import readings
 from fleetpulse.sources.keyed import KeyedTables
@@ -22,28 +21,41 @@ K = SENSOR_KEYS
 CHUNK_US = 2 * DAY_US
 MONITOR_CHUNK_US = DAY_US // 2  # several micro-batches on every table, so that state is handed on
 FILES = 4
+BATCHES = 16  # at most this many micro-batches over the whole input
 
 
 def staged(spark, rows: DataFrame, chunk_us: int = CHUNK_US) -> str:
-    """Readings as files in time order: a fixed number of files per stretch of time."""
+    """Readings as files in time order: a fixed number of files per stretch of time.
+
+    A stretch is ``chunk_us`` long, or as long as ``BATCHES`` stretches over all rows
+    need: every stretch costs a job here and a micro-batch later, whatever it holds.
+    """
     folder = folder_for_cut(spark)
-    rows = rows.select("machine_id", "ingest_seq", "us", *K, "health_status").withColumn("_chunk", slice_of("us", chunk_us))
-    span = rows.agg(F.min("_chunk"), F.max("_chunk")).first()
-    for c in range(span[0], span[1] + 1):
-        (rows.filter(F.col("_chunk") == c).drop("_chunk").repartition(FILES, "machine_id")
+    rows = rows.select("machine_id", "ingest_seq", "us", *K, "health_status")
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    width = max(chunk_us, -(-(last - first + 1) // BATCHES))
+    start = first if width > chunk_us else first // chunk_us * chunk_us
+    for begin in range(start, last + 1, width):
+        # Dealt out one by one, so that no file stays empty and a micro-batch is one stretch.
+        (rows.filter((F.col("us") >= begin) & (F.col("us") < begin + width)).repartition(FILES)
          .write.mode("append").parquet(folder))
     return folder
 
 
-def drain(sdf: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming query over the available input into Parquet and read it back."""
+def drain_into(sdf: DataFrame, path: str, mode: str = "append") -> None:
+    """Run a streaming query over the available input into Parquet files."""
     spark = sdf.sparkSession
-    base = folder_for_cut(spark)
     with st.keyed_state_store(spark):
-        run = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
-               .option("path", f"{base}/rows").trigger(availableNow=True).start())
+        run = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", folder_for_cut(spark))
+               .option("path", path).trigger(availableNow=True).start())
         run.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(f"{base}/rows")
+
+
+def drain(sdf: DataFrame, mode: str = "append") -> DataFrame:
+    """The same, read back."""
+    path = folder_for_cut(sdf.sparkSession)
+    drain_into(sdf, path, mode)
+    return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
 
 
 def source(spark, rows, chunk_us: int = CHUNK_US):
@@ -51,7 +63,14 @@ def source(spark, rows, chunk_us: int = CHUNK_US):
 
 
 def streamed(spark, sf):
-    return table(spark, f"streamed:{sf}", lambda: drain(st.stream_monitor(source(spark, readings(spark, sf), MONITOR_CHUNK_US))))
+    return written_table(spark, f"streamed:{sf}", lambda path: drain_into(
+        st.stream_monitor(source(spark, readings(spark, sf), MONITOR_CHUNK_US)), path))
+
+
+def monitored(spark, sf):
+    """The monitor's files as a stream, in the order in which it wrote them; a machine's rows of a batch lie in one file."""
+    schema = streamed(spark, sf).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(2 * FILES)).parquet(table_path(spark, f"streamed:{sf}"))
 
 
 @query("stream_monitor", "R1 R2 R3 R4 R5 R9")
@@ -71,12 +90,7 @@ def stream_discovery(spark, sf):
 
 @query("stream_alerts", "R3 K10")
 def stream_alerts(spark, sf):
-    monitored = spark.readStream.schema(streamed(spark, sf).schema).parquet(_folder(spark, f"streamed:{sf}"))
-    return drain(st.stream_alerts(st.stream_forecast(monitored)))
-
-
-def _folder(spark, name):
-    return table_path(spark, name)
+    return drain(st.stream_alerts(st.stream_forecast(monitored(spark, sf))))
 
 
 @query("stream_gap_timeout", "R7")
@@ -87,8 +101,7 @@ def stream_gap_timeout(spark, sf):
 @query("stream_sensor_state", "R8")
 def stream_sensor_state(spark, sf):
     path = folder_for_cut(spark)
-    rows = spark.readStream.schema(streamed(spark, sf).schema).parquet(_folder(spark, f"streamed:{sf}"))
-    run = (st.sensor_states(rows).writeStream.foreachBatch(st.upsert_state(path))
+    run = (st.sensor_states(monitored(spark, sf)).writeStream.foreachBatch(st.upsert_state(path))
            .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start())
     run.awaitTermination()
     return st.read_state(spark, path)
@@ -106,9 +119,7 @@ def kept_tables(spark, changes: DataFrame) -> KeyedTables:
 
 
 def interval_changes(spark, sf):
-    rows = (spark.readStream.schema(streamed(spark, sf).schema).option("maxFilesPerTrigger", str(FILES))
-            .parquet(_folder(spark, f"streamed:{sf}")))
-    return intervals.stream_changes(intervals.described(rows))
+    return intervals.stream_changes(intervals.described(monitored(spark, sf)))
 
 
 @query("stream_intervals", "R8 A23")

@@ -30,6 +30,7 @@ from fleetpulse.params import (BY_KEY, DEFAULT, INTEGRITY, MINUTE_US, SENSOR_KEY
 from fleetpulse.sources.readings import READING
 from fleetpulse.streaming.rolling import BOOK_SCHEMA, CHUNK_SCHEMA, RollingWindows, StateRows
 
+BLOCK_ROWS = 2048
 TREND_STATS = ("slope_per_hour", "sample_count", "coverage_fraction", "gap_or_discontinuity",
                "available_history_duration_seconds", "feature_available")
 
@@ -224,8 +225,11 @@ class MonitorProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = json.loads(self.held.get()[0]) if self.held.exists() else {}
         windows = rolling_windows(self.params, StateRows(self.chunks), self.book.get() if self.book.exists() else None)
-        # Batches of a group arrive unsorted, so a micro-batch is ordered as a whole.
-        yield monitor_rows(key[0], pd.concat(list(rows), ignore_index=True), held, self.params, windows)
+        # Batches of a group arrive unsorted, so a micro-batch is ordered as a whole. Its rows then
+        # go on in blocks: their cells take far more room, and a reset looks at the rest of a block anew.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "ingest_seq"], ignore_index=True)
+        for at in range(0, len(batch), BLOCK_ROWS):
+            yield monitor_rows(key[0], batch.iloc[at:at + BLOCK_ROWS], held, self.params, windows)
         self.held.update((json.dumps(held),))
         self.book.update(windows.book.row())
 
@@ -301,24 +305,26 @@ def stream_alerts(forecasts: DataFrame, params: Params = DEFAULT) -> DataFrame:
     def call(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(parts), ignore_index=True).sort_values("us", ignore_index=True)
-        out = []
-        for row in rows.itertuples():
-            for t, limit in limits.items():
-                value = getattr(row, t)
-                on = hysteresis_next(held.setdefault(t, {}), row.us, value, limit, waits[t], params)
-                out.append([key[0], row.us, t, on])
+        for at in range(0, len(rows), BLOCK_ROWS):
+            out = []
+            for row in rows.iloc[at:at + BLOCK_ROWS].itertuples():
+                for t, limit in limits.items():
+                    value = getattr(row, t)
+                    on = hysteresis_next(held.setdefault(t, {}), row.us, value, limit, waits[t], params)
+                    out.append([key[0], row.us, t, on])
+            yield pd.DataFrame(out, columns=["machine_id", "us", "target", "active"])
         state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["machine_id", "us", "target", "active"])
 
     return forecasts.select("machine_id", "us", *limits).groupBy("machine_id").applyInPandasWithState(
         call, ALERT_OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def gap_timeout(sdf: DataFrame, seconds: float = 300.0, delay: str = "1 minute") -> DataFrame:
-    """A DATA_UNAVAILABLE row when a machine has been silent for longer than the limit.
+    """A DATA_UNAVAILABLE row for each time that a machine was silent for longer than the limit.
 
     Fires on event time, so it needs no further row of the silent machine, only
-    that the stream as a whole moves on.
+    that the stream as a whole moves on. A silence that a micro-batch already sees the
+    end of is reported from its rows, so the result does not depend on how rows are batched.
     """
     limit_ms = int(seconds * 1000)
 
@@ -329,10 +335,14 @@ def gap_timeout(sdf: DataFrame, seconds: float = 300.0, delay: str = "1 minute")
             state.remove()
             yield pd.DataFrame([[key[0], last, "DATA_UNAVAILABLE"]], columns=cols)
             return
-        last = max([int(p["us"].max()) for p in parts] + ([state.get[0]] if state.exists else []))
+        us = np.sort(np.concatenate([p["us"].to_numpy(dtype=np.int64) for p in parts]))
+        if state.exists:
+            us = np.concatenate([[state.get[0]], us[us > state.get[0]]])
+        last = int(us[-1])
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(columns=cols)
+        ended = us[:-1][np.diff(us) > limit_ms * 1000]
+        yield pd.DataFrame({"machine_id": key[0], "last_us": ended, "quality_status": "DATA_UNAVAILABLE"}, columns=cols)
 
     return sdf.withWatermark("ts", delay).groupBy("machine_id").applyInPandasWithState(
         call, "machine_id string, last_us bigint, quality_status string", "last bigint", "append",
