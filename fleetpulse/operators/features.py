@@ -102,6 +102,19 @@ def _prefix(values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(values, dtype=float)))
 
 
+def _means(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Means of ``values[lo:hi]``, rounded once.
+
+    Whole and fractional parts are summed apart, which keeps all bits of ordinary readings;
+    a mean that equals a limit must not come out a bit beyond it.
+    """
+    scaled = values * 2.0 ** 26
+    whole = np.floor(scaled)
+    a, b = _prefix(whole), _prefix(scaled - whole)
+    total = (a[hi] - a[lo]).astype(np.longdouble) + (b[hi] - b[lo])
+    return (total / (hi - lo) / 2.0 ** 26).astype(float)
+
+
 def _window_block(us: np.ndarray, series: dict[str, np.ndarray], codes: dict[str, np.ndarray],
                   minutes: int, expected_s: float, max_gap_s: float,
                   wanted: Mapping[str, Set[str]] | None = None) -> dict[str, np.ndarray]:
@@ -148,9 +161,8 @@ def _window_block(us: np.ndarray, series: dict[str, np.ndarray], codes: dict[str
         raw = series[key]
         rolled = pd.Series(raw).rolling(span, min_periods=1)
         stats = {n: v for n, v in shared.items() if n in names}
-        if names & {"mean", "std", "slope_per_hour"}:
-            middle = float(np.median(raw))
-            y = raw - middle
+        if names & {"std", "slope_per_hour"}:
+            y = raw - float(np.median(raw))
             y_old, y_new = parts(y)
             sy = y_old + y_new
             mean = sy / count
@@ -158,7 +170,7 @@ def _window_block(us: np.ndarray, series: dict[str, np.ndarray], codes: dict[str
             least, most = rolled.min().to_numpy(), rolled.max().to_numpy()
             stats.update({n: v for n, v in (("minimum", least), ("maximum", most)) if n in names})
         if "mean" in names:
-            stats["mean"] = mean + middle
+            stats["mean"] = _means(raw, lo, hi)
         if "median" in names:
             stats["median"] = rolled.median().to_numpy()
         if "std" in names:
