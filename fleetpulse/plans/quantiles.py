@@ -4,7 +4,9 @@
 first gives equal-depth cut points, distinct values are counted and ranked inside
 the cuts, and the quantile is read off the running counts: same numbers, but a
 group of any size is spread over as many ranges as there are shuffle partitions
-(64 at least).
+(64 at least). The cut points are written once: a sketch depends on the order in which
+its parts arrive, so two evaluations may cut differently, and a scan that reads its
+input twice would count by one and carry by the other.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.plans.shared import cut
 from fleetpulse.plans.slices import scan
 
 CUTS = 64
@@ -31,7 +34,7 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, probs: Sequence
     marks = F.array(*[F.lit(i / n) for i in range(1, n)])
     cuts = v.groupBy(*group).agg(F.percentile_approx("_v", marks, F.lit(10 * n)).alias("_cuts"),
                                  F.count("*").alias("_total"))
-    counts = counts.join(cuts, group).withColumn(
+    counts = counts.join(cut(cuts), group).withColumn(
         "slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).cast("long")).drop("_cuts")
     ranked = scan(counts, group, order=("_v",), total={"_upto": "_cnt"})
     cells = []
