@@ -333,6 +333,17 @@ def carried_runs(state: dict, row: dict, a: Anomaly) -> dict:
     return row
 
 
+def stuck_levels(key: str, seconds: np.ndarray, longest: np.ndarray, events: np.ndarray, quiet: np.ndarray,
+                 a: Anomaly) -> np.ndarray:
+    """:func:`stuck_level` of a whole block."""
+    m = INTEGRITY[key]
+    factor = 1.0 if m.exact_values else 2.0
+    some = (events > 0) & (seconds > np.maximum(m.stuck_observe_s * factor, longest * 1.5))
+    sure = (seconds >= m.stuck_suspect_s * factor) & (events >= a.context_events + (not m.exact_values)) & (
+        quiet >= m.response_s)
+    return some.astype(int) + (some & sure)
+
+
 def stuck_level(key: str, run: tuple, a: Anomaly) -> int:
     """0 nothing, 1 possibly stuck, 2 suspected stuck."""
     m = INTEGRITY[key]

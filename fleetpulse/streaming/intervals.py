@@ -68,6 +68,14 @@ def _image(entry: dict, closed_us: int | None) -> tuple:
             entry["event_rows"], upto)
 
 
+def _cells(column: pd.Series, name: str) -> list:
+    """Plain values, None where there is none; times and numbers as whole numbers."""
+    known = column.notna().to_numpy()
+    if name == "ingest_seq" or name == "us" or name.endswith("_us"):
+        column = column.where(known, 0).astype("int64")
+    return [v if k else None for v, k in zip(column.tolist(), known.tolist())]
+
+
 class IntervalProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.open = handle.getMapState("open", "opened_by bigint", OPEN)
@@ -83,11 +91,8 @@ class IntervalProcessor(StatefulProcessor):
         held = {k: tuple(self.sensors.getValue((k,))) if self.sensors.containsKey((k,)) else (False, None) for k in SENSOR_KEYS}
         number = self.count.get()[0] if self.count.exists() else 0
         touched, closed = {}, {}
-        columns = [[None if pd.isna(v) else v for v in batch[c].tolist()] for c in NEEDED]
-        for values in zip(*columns):
+        for values in zip(*[_cells(batch[c], c) for c in NEEDED]):
             row = dict(zip(NEEDED, values))
-            for c in ("us", "ingest_seq", "first_observed_us", "confirmed_at_us", "suspicion_us", "resolved_us"):
-                row[c] = None if row[c] is None else int(row[c])
             active, sensors = bool(row["anomaly_is_active"]), row["affected_sensors"] or ""
             hit, ended = anomaly.interval_next(open_, row["ingest_seq"], row["primary_type"], sensors, active)
             if hit is not None:
